@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexoria.operators.components import connected_components
@@ -81,55 +81,90 @@ def _sets(texts: list, least: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndar
     return np.array(rows, np.int64), np.array(sizes, np.int64), np.array(flat, np.uint64)
 
 
-def histogram(texts: DataFrame, least: int) -> np.ndarray:
-    """In how many texts the words of each bucket occur; `BUCKETS` numbers whatever the data's size."""
+def _spaces(names: list, hashes: _Hashes) -> np.ndarray:
+    """A hash of each row's space, by which words and nodes of different spaces are told apart."""
+    known = {x: h for x, h in zip(set(names), hashes([f"\x00{x}" for x in set(names)]))}
+    return np.fromiter((known[x] for x in names), np.uint64, len(names))
+
+
+def _first_pass(least: int):
+    """Of each partition its rows with enough words (space, id, node, copy), and at its end how many of
+    them have words of each bucket (chunk, counts)."""
     step = BUCKETS // CHUNKS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         total, hashes = np.zeros(BUCKETS, np.int64), _Hashes()
+        names = ["space", "id", "node", "copy", "chunk", "counts"]
         for b in batches:
-            _, _, flat = _sets(b.column(0).to_pylist(), least, hashes)
+            texts = b.column(2).to_pylist()
+            rows, sizes, flat = _sets(texts, least, hashes)
+            if not len(rows):
+                continue
             total += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            space = _spaces(b.column(0).to_pylist(), hashes)[rows]
+            nodes = _set_keys(space, np.repeat(np.arange(len(rows)), sizes), flat)
+            same = [xxhash.xxh3_64_intdigest(texts[i].encode("utf-8", "surrogatepass")) for i in rows.tolist()]
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(nodes), pa.array(np.array(same, np.uint64).view(np.int64)),
+                 pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())],
+                names=names,
+            )
         if total.any():
             parts = [total[k * step : (k + 1) * step].tobytes() for k in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(CHUNKS, pa.string()), *[pa.nulls(CHUNKS, pa.int64())] * 3, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())],
+                names=names,
+            )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(raw, np.int64)
-                sums[k] = sums[k] + part if k in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    got = texts.select("text").mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect()
+    return run
+
+
+def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            part = np.frombuffer(raw, np.int64)
+            sums[k] = sums[k] + part if k in sums else part
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+
+def _histogram(first: DataFrame) -> np.ndarray:
+    """In how many texts the words of each bucket occur; `BUCKETS` numbers whatever the data's size."""
+    step = BUCKETS // CHUNKS
+    chunks = first.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk")
     out = np.zeros(BUCKETS, np.int64)
-    for r in got:
+    for r in chunks.mapInArrow(_add_chunks, "chunk int, counts binary").collect():
         out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def _set_keys(rows: int, owner: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each set: mixed word hashes added up, so that their order plays no part."""
-    x = flat.copy()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.copy()
     for shift, by in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
         x ^= x >> np.uint64(shift)
         x *= np.uint64(by)
-    x ^= x >> np.uint64(32)
-    out = np.zeros(rows, np.uint64)
-    np.add.at(out, owner, x)
+    return x ^ (x >> np.uint64(32))
+
+
+def _set_keys(space: np.ndarray, owner: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each set of a space: mixed hashes added up, so that words' order plays no part."""
+    out = _mix(space)
+    np.add.at(out, owner, _mix(flat ^ space[owner]))
     return out.view(np.int64)
 
 
 def _bitmaps(rows: int, owner: np.ndarray, flat: np.ndarray) -> np.ndarray:
     bits = np.zeros((rows, BITS), bool)
     bits[owner, (flat >> np.uint64(40)).astype(np.int64) % BITS] = True
-    return np.packbits(bits, axis=1)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
-BLOCK_ROWS = "space string, word long, part int, side int, n int, node long, bits binary"
+LANES = [f"b{k}" for k in range(BITS // 64)]
+BLOCK_ROWS = "word long, part int, side int, n int, node long, " + ", ".join(f"{c} long" for c in LANES)
 
 
 def _emit(least: int, threshold: float, counts, part: int):
@@ -140,14 +175,14 @@ def _emit(least: int, threshold: float, counts, part: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                spaces = np.array(b.column(0).to_pylist(), object)
                 rows, sizes, flat = _sets(b.column(1).to_pylist(), least, hashes)
                 if not len(rows):
                     continue
+                space = _spaces(b.column(0).to_pylist(), hashes)[rows]
                 owner = np.repeat(np.arange(len(rows)), sizes)
-                keys = _set_keys(len(rows), owner, flat)
+                keys = _set_keys(space, owner, flat)
                 new = np.zeros(len(rows), bool)
-                for i, k in enumerate(zip(spaces[rows].tolist(), keys.tolist())):
+                for i, k in enumerate(keys.tolist()):
                     if k not in seen:
                         seen.add(k)
                         new[i] = True
@@ -161,7 +196,8 @@ def _emit(least: int, threshold: float, counts, part: int):
                 rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
                 take = order[(rank < prefix[owner]) & new[owner]]
-                who, word, many = owner[take], flat[take].view(np.int64), seldom[take]
+                who, many = owner[take], seldom[take]
+                word = _mix(flat[take] ^ space[who]).view(np.int64)
                 parts = np.maximum(1, -(-many // part))
                 mine = (keys[who].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
                 # a set of part i goes to the tasks of (i, j) for every j
@@ -169,11 +205,11 @@ def _emit(least: int, threshold: float, counts, part: int):
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)
                 low, high = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
                 side = np.where(low == high, 2, (mine[rep] != low).astype(np.int64))
-                flatbits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(rep), [None, pa.py_buffer(np.ascontiguousarray(bits[who[rep]]))])
+                lanes = bits[who[rep]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spaces[rows[who[rep]]], pa.string()), pa.array(word[rep]), pa.array((low * parts[rep] + high).astype(np.int32)),
-                     pa.array(side.astype(np.int32)), pa.array(sizes[who[rep]].astype(np.int32)), pa.array(keys[who[rep]]), flatbits.cast(pa.binary())],
-                    names=["space", "word", "part", "side", "n", "node", "bits"],
+                    [pa.array(word[rep]), pa.array((low * parts[rep] + high).astype(np.int32)), pa.array(side.astype(np.int32)),
+                     pa.array(sizes[who[rep]].astype(np.int32)), pa.array(keys[who[rep]]), *[pa.array(lanes[:, k]) for k in range(len(LANES))]],
+                    names=["word", "part", "side", "n", "node", *LANES],
                 )
 
     return run
@@ -204,40 +240,35 @@ def _compare(threshold: float):
                 if len(u):
                     yield node[a][u], node[c][v]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(space: np.ndarray, a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            low, high = np.minimum(a, c), np.maximum(a, c)
-            t = pa.table({"space": pa.array(space, pa.string()), "a": low, "b": high}).group_by(["space", "a", "b"]).aggregate([])
-            return t.select(["space", "a", "b"]).combine_chunks().to_batches()[0]
-
-        def process(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            space = t.column(0)
-            code = space.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            word, part, side, n, node = (t.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
-            n = n.astype(np.int64)
-            bits = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(t), BITS // 64)
-            edge = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (part[1:] != part[:-1]) | (code[1:] != code[:-1])])
-            size = np.diff(np.r_[edge, len(t)])
-            names = np.array(space.to_pylist(), object)
-            group = np.repeat(np.arange(len(edge)), size)
-            small = np.repeat(size <= TILE, size)
-            # small blocks together: every row with the next, with the next but one and so on
-            at, shift = np.flatnonzero(small), 1
-            while len(at):
-                at = at[at + shift < len(t)]
-                at = at[(group[at + shift] == group[at]) & (n[at] >= threshold * n[at + shift] - 1e-9)]
-                if not len(at):
-                    break
-                to = at + shift
-                ok = _alike(n[at], n[to], bits[at], bits[to], threshold) & (node[at] != node[to]) & ((side[at] != side[to]) | (side[at] == 2))
-                if ok.any():
-                    yield pairs(names[at[ok]], node[at[ok]], node[to[ok]])
-                shift += 1
-            for g in np.flatnonzero(size > TILE):
-                s = slice(edge[g], edge[g] + size[g])
-                for a, c in tiles(n[s], side[s], node[s], bits[s]):
-                    yield pairs(np.full(len(a), names[edge[g]], object), a, c)
+    def pairs(a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def process(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        word, part, side, n, node = (t.column(k).to_numpy() for k in range(5))
+        n = n.astype(np.int64)
+        bits = np.stack([t.column(c).to_numpy() for c in LANES], axis=1).view(np.uint64)
+        edge = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (part[1:] != part[:-1])])
+        size = np.diff(np.r_[edge, len(t)])
+        # small blocks together: every row with the next of its block, with the next but one and so on
+        block_end = np.repeat(np.where(size <= TILE, edge + size, 0), size)
+        at, shift, u, v = np.flatnonzero(block_end > np.arange(len(t)) + 1), 1, [], []
+        while len(at):
+            to = at + shift
+            ok = n[at] >= threshold * n[to] - 1e-9
+            at, to = at[ok], to[ok]
+            ok = _alike(n[at], n[to], bits[at], bits[to], threshold) & (node[at] != node[to]) & ((side[at] != side[to]) | (side[at] == 2))
+            u.append(node[at[ok]]), v.append(node[to[ok]])
+            shift += 1
+            at = at[at + shift < block_end[at]]
+        if u:
+            yield pairs(np.concatenate(u), np.concatenate(v))
+        for g in np.flatnonzero(size > TILE):
+            s = slice(edge[g], edge[g] + size[g])
+            for a, c in tiles(n[s], side[s], node[s], bits[s]):
+                yield pairs(a, c)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
@@ -246,77 +277,49 @@ def _compare(threshold: float):
             same = (w == w[-1]) & (p == p[-1]) if len(t) else np.zeros(0, bool)
             cut = len(t) - int(np.argmin(same[::-1])) if len(t) and not same.all() else 0
             if cut:
-                yield from process(t.slice(0, cut).combine_chunks().to_batches()[0])
-                held = t.slice(cut)
-            else:
-                held = t
+                yield from process(t.slice(0, cut))
+            held = t.slice(cut)
         if held is not None and len(held):
-            yield from process(held.combine_chunks().to_batches()[0])
-
-    return run
-
-
-def _numbered(least: int):
-    """(space, id, node, copy) of each row with enough words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        hashes = _Hashes()
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            rows, sizes, flat = _sets(texts, least, hashes)
-            keys = _set_keys(len(rows), np.repeat(np.arange(len(rows)), sizes), flat)
-            take = pa.array(rows)
-            same = [xxhash.xxh3_64_intdigest(texts[i].encode("utf-8", "surrogatepass")) for i in rows.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(keys), pa.array(np.array(same, np.uint64).view(np.int64))],
-                names=["space", "id", "node", "copy"],
-            )
+            yield from process(held)
 
     return run
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words = [list(word_set(t)) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["space", "node", "words"])
+        words = [list(word_set(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["node", "words"])
 
 
 def alike_sets(texts: DataFrame, threshold: float = 0.7, least: int = 12, part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """Members (space, id, node, copy, rep, copies) and pairs (space, a, b) of different nodes.
+    """Members (space, id, node, copy, rep, copies) and pairs (a, b) of different nodes.
 
-    `texts`: space, id, text. A node is a set of words; `rep` is the smallest id with the same text.
+    `texts`: space, id, text. A node is a set of words of a space; `rep` is the smallest id with the
+    same text.
     """
     spark = texts.sparkSession
-    sc = spark.sparkContext
     texts = texts.select("space", F.col("id").cast("long").alias("id"), "text").where("space is not null and id is not null and text is not null")
-    kept = sc.broadcast(histogram(texts, least))
-    numbered = texts.mapInArrow(_numbered(least), "space string, id long, node long, copy long").groupBy("space", "id").agg(F.max(F.struct("node", "copy")).alias("r"))
-    members = numbered.select("space", "id", "r.node", "r.copy")
-    first = members.groupBy("space", "node", "copy").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = publish(members.join(first, ["space", "node", "copy"]), "members")
+    first = publish(texts.mapInArrow(_first_pass(least), "space string, id long, node long, copy long, chunk int, counts binary"), "sets")
+    kept = spark.sparkContext.broadcast(_histogram(first))
+    single = first.where("chunk is null").groupBy("space", "id").agg(F.max(F.struct("node", "copy")).alias("r")).select("space", "id", "r.node", "r.copy")
+    same = Window.partitionBy("node", "copy")
+    members = publish(single.withColumns({"rep": F.min("id").over(same), "copies": F.count("*").over(same)}), "members")
     blocks = texts.select("space", "text").mapInArrow(_emit(least, threshold, kept, part), BLOCK_ROWS)
-    width = shuffle_width(spark)
     found = (
-        blocks.repartition(width, "space", "word", "part").sortWithinPartitions("space", "word", "part", "n")
-        .mapInArrow(_compare(threshold), "space string, a long, b long").distinct()
+        blocks.repartition(shuffle_width(spark), "word", "part").sortWithinPartitions("word", "part", "n")
+        .mapInArrow(_compare(threshold), "a long, b long").distinct()
     )
     candidates = publish(found, "candidates")
-    wanted = candidates.select("space", F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = members.groupBy("space", "node").agg(F.min("rep").alias("id"))
-    ids = publish(wanted.join(one, ["space", "node"]), "wanted")
-    words = (
-        texts.join(checked_broadcast(ids, BROADCAST_ROWS), ["space", "id"]).select("space", "node", "text")
-        .groupBy("space", "node").agg(F.max("text").alias("text")).select("space", "node", "text")
-    )
-    words = words.select("space", "node", "text").mapInArrow(_words, "space string, node long, words array<string>")
-    wa = words.select("space", F.col("node").alias("a"), F.col("words").alias("wa"))
-    wb = words.select("space", F.col("node").alias("b"), F.col("words").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = members.groupBy("node").agg(F.min(F.struct("rep", "space")).alias("r")).select("node", F.col("r.space").alias("space"), F.col("r.rep").alias("id"))
+    ids = publish(wanted.join(one, "node"), "wanted")
+    words = texts.join(checked_broadcast(ids, BROADCAST_ROWS), ["space", "id"]).groupBy("node").agg(F.max("text").alias("text"))
+    words = words.mapInArrow(_words, "node long, words array<string>")
+    wa = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
+    wb = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
     pairs = (
-        candidates.join(wa, ["space", "a"]).join(wb, ["space", "b"]).withColumn("n", both)
-        .where(F.col("n") >= F.lit(threshold) * (F.size("wa") + F.size("wb") - F.col("n")) - 1e-9).select("space", "a", "b")
+        candidates.join(wa, "a").join(wb, "b").withColumn("n", F.size(F.array_intersect("wa", "wb")))
+        .where(F.col("n") >= F.lit(threshold) * (F.size("wa") + F.size("wb") - F.col("n")) - 1e-9).select("a", "b")
     )
     return members, publish(pairs, "pairs")
 
@@ -324,9 +327,9 @@ def alike_sets(texts: DataFrame, threshold: float = 0.7, least: int = 12, part:
 def _links(members: DataFrame, pairs: DataFrame, expand: int) -> tuple[DataFrame, DataFrame]:
     units = members.where((F.col("copies") <= expand) | (F.col("id") == F.col("rep"))).select("space", "node", "id")
     ua = units.select("space", F.col("node").alias("a"), F.col("id").alias("x"))
-    ub = units.select("space", F.col("node").alias("b"), F.col("id").alias("y"))
-    across = pairs.join(ua, ["space", "a"]).join(ub, ["space", "b"]).select("space", "x", "y")
-    mates = units.join(units.withColumnRenamed("id", "y"), ["space", "node"]).where("id < y").select("space", F.col("id").alias("x"), "y")
+    ub = units.select(F.col("node").alias("b"), F.col("id").alias("y"))
+    across = pairs.join(ua, "a").join(ub, "b").select("space", "x", "y")
+    mates = units.join(units.select("node", F.col("id").alias("y")), "node").where("id < y").select("space", F.col("id").alias("x"), "y")
     stars = members.where((F.col("copies") > expand) & (F.col("id") != F.col("rep"))).select("space", F.col("rep").alias("x"), F.col("id").alias("y"))
     return across.unionByName(mates), stars
 
@@ -350,20 +353,17 @@ def groups(texts: DataFrame, threshold: float = 0.7, least: int = 12, part: int
     """(space, id, class_id, links): the group that each text with enough words is in, named by its
     smallest id, and the number of other texts (not counting copies) that it is paired with."""
     members, pairs = alike_sets(texts, threshold, least, part)
-    sets = members.groupBy("space", "node").agg(F.min("rep").alias("least_id"), F.count_distinct("copy").alias("texts"))
-    sets = publish(sets, "sets")
-    a = sets.select("space", F.col("node").alias("a"), F.struct("space", "least_id").alias("x"), F.col("texts").alias("ta"))
-    b = sets.select("space", F.col("node").alias("b"), F.struct("space", "least_id").alias("y"), F.col("texts").alias("tb"))
-    full = publish(pairs.join(a, ["space", "a"]).join(b, ["space", "b"]), "full")
-    degree = (
-        full.select("space", F.col("a").alias("node"), F.col("tb").alias("t")).unionByName(full.select("space", F.col("b").alias("node"), F.col("ta").alias("t")))
-        .groupBy("space", "node").agg(F.sum("t").alias("t"))
-    )
-    comp = connected_components(full, "x", "y").select("node.*", F.col("component.least_id").alias("class_id"))
-    named = sets.join(comp, ["space", "least_id"], "left").join(degree, ["space", "node"], "left").select(
-        "space", "node", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("t", F.lit(0)) + F.col("texts") - 1).alias("links")
-    )
-    return members.select("space", "id", "node").join(named, ["space", "node"]).select("space", "id", "class_id", "links")
+    sets = publish(members.groupBy("node").agg(F.min("rep").alias("least_id"), F.count_distinct("copy").alias("texts")), "node-sizes")
+    a = sets.select(F.col("node").alias("a"), F.col("least_id").alias("x"), F.col("texts").alias("ta"))
+    b = sets.select(F.col("node").alias("b"), F.col("least_id").alias("y"), F.col("texts").alias("tb"))
+    full = publish(pairs.join(a, "a").join(b, "b"), "full")
+    degree = full.select(F.col("a").alias("node"), F.col("tb").alias("t")).unionByName(full.select(F.col("b").alias("node"), F.col("ta").alias("t")))
+    degree = degree.groupBy("node").agg(F.sum("t").alias("t"))
+    # a component's nodes are of one space; it is named by the node with its smallest id
+    comp = publish(connected_components(full.select(F.struct("x", "a").alias("p"), F.struct(F.col("y").alias("x"), F.col("b").alias("a")).alias("q")), "p", "q"), "classes")
+    named = sets.join(comp.select(F.col("node.a").alias("node"), F.col("component.x").alias("class_id")), "node", "left").join(degree, "node", "left")
+    named = named.select("node", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("t", F.lit(0)) + F.col("texts") - 1).alias("links"))
+    return members.select("space", "id", "node").join(named, "node").select("space", "id", "class_id", "links")
 
 
 def radius(n: int, m: int, threshold: float) -> int:
