@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexoria.llm.leaks import find_leaks
 from lexoria.llm.neardup import groups, near_duplicates
+from lexoria.llm.packing import pack
 from lexoria.llm.spelling import clean_rows
 from lexoria.llm.terms import mark_terms, term_totals
 from lexoria.plans.runtime import read
@@ -55,7 +59,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_totals, p5_found)}
+#: Token ranks by which documents are measured; another public file may be named instead.
+TOKENIZER = os.environ.get("LEXORIA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+CAPACITY = 2048
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of 2,048 tokens that each document, or each piece of a longer one, is in."""
+    return pack(read(spark, sf_dir, "documents"), TOKENIZER, CAPACITY)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items of which they hold 12 or more consecutive words."""
+    docs, items = read(spark, sf_dir, "documents", "eval_items")
+    return find_leaks(docs, items)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_totals, p5_found, p6_pack, p7_found)}
 
 _SETS = """
 with t as (
@@ -82,4 +102,10 @@ join s x on x.table_name = c.table_name and x.id = c.id_a join s y on y.table_na
 where len(list_intersect(x.words, y.words)) >= 0.7 * (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words)))""",
     "p4_found": f"select word, {_MARK} as mark from {_SUMS} where {_MARK} <> ''",
     "p4_totals": f"select word, occurrences, documents, n_rows, {_MARK} as mark from {_SUMS}",
+    "p7_found": """
+with g as (select id, is_doc, array_to_string(ws[i : i + 11], ' ') as gram from (
+  select id, is_doc, ws, unnest(range(1, len(ws) - 10)) as i from (
+    select doc_id as id, true as is_doc, regexp_extract_all(strip_accents(lower(text)), '\\p{L}+') as ws from documents where text is not null
+    union all select item_id, false, regexp_extract_all(strip_accents(lower(text)), '\\p{L}+') from eval_items)))
+select distinct d.id as doc_id, e.id as item_id from g d join g e on d.gram = e.gram where d.is_doc and not e.is_doc""",
 }
