@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexoria.llm.leaks import find_leaks
 from lexoria.llm.neardup import groups, near_duplicates
 from lexoria.llm.packing import pack
+from lexoria.llm.quality import LIMITS, flag, learn, statistics
 from lexoria.llm.spelling import clean_rows
 from lexoria.llm.terms import mark_terms, term_totals
 from lexoria.plans.runtime import read
@@ -75,7 +76,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(docs, items)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_totals, p5_found, p6_pack, p7_found)}
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, common = read(spark, sf_dir, "documents", "common_words")
+    words = [r["word"] for r in common.where("word is not null").limit(10_000).collect()]
+    return statistics(docs, words)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the statistics of theirs that are out of range."""
+    stats = _statistics(spark, sf_dir)
+    return flag(stats, learn(stats)).distinct()
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document, rounded to six places."""
+    stats = _statistics(spark, sf_dir)
+    return stats.select("doc_id", *[F.round(c, 6).alias(c) for c in LIMITS]).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_totals, p5_found, p6_pack, p7_found, p8_found, p8_stats)}
 
 _SETS = """
 with t as (
@@ -91,6 +110,19 @@ _SUMS = """
 """
 _MARK = "case when occurrences < 5 or documents < 3 then 'rare' when documents > 100000 then 'common' else '' end"
 
+_STATS = r"""
+with d as (select distinct doc_id, text from documents),
+p as (select doc_id, length(text) as chars, regexp_extract_all(lower(text), '\p{L}+') as w,
+        length(regexp_replace(text, '[\p{L}\p{Nd}\s]', '', 'g')) as sym,
+        list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '') as l from d),
+s as (select doc_id, cast(len(w) as double) as words,
+        case when len(w) > 0 then length(array_to_string(w, '')) / len(w) end as word_len,
+        case when chars > 0 then sym / chars end as symbols,
+        case when len(l) > 0 then len(list_filter(l, lambda x: right(x, 1) in ('.', '!', '?', '…', ';', ':', '"', '”', '»'))) / len(l) end as line_end,
+        case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(c.words, x))) / len(w) end as common
+      from p, (select list(lower(word)) as words from common_words) c)
+"""
+
 ORACLES = {
     "p2_found": _SETS
     + """, seldom as (select word, count(*) as df from w group by word),
@@ -108,4 +140,11 @@ with g as (select id, is_doc, array_to_string(ws[i : i + 11], ' ') as gram from
     select doc_id as id, true as is_doc, regexp_extract_all(strip_accents(lower(text)), '\\p{L}+') as ws from documents where text is not null
     union all select item_id, false, regexp_extract_all(strip_accents(lower(text)), '\\p{L}+') from eval_items)))
 select distinct d.id as doc_id, e.id as item_id from g d join g e on d.gram = e.gram where d.is_doc and not e.is_doc""",
+    "p8_stats": _STATS + "select doc_id, " + ", ".join(f"round({c}, 6) as {c}" for c in LIMITS) + " from s",
+    "p8_found": _STATS
+    + """select doc_id, 'words' as stat from s where words < 20
+union all select doc_id, 'word_len' from s where word_len < 3.5 or word_len > 7.5
+union all select doc_id, 'symbols' from s where symbols > 0.125
+union all select doc_id, 'line_end' from s where line_end < 0.5
+union all select doc_id, 'common' from s where common < 0.25""",
 }
