@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexoria.operators.components import connected_components
@@ -302,8 +302,9 @@ def alike_sets(texts: DataFrame, threshold: float = 0.7, least: int = 12, part:
     first = publish(texts.mapInArrow(_first_pass(least), "space string, id long, node long, copy long, chunk int, counts binary"), "sets")
     kept = spark.sparkContext.broadcast(_histogram(first))
     single = first.where("chunk is null").groupBy("space", "id").agg(F.max(F.struct("node", "copy")).alias("r")).select("space", "id", "r.node", "r.copy")
-    same = Window.partitionBy("node", "copy")
-    members = publish(single.withColumns({"rep": F.min("id").over(same), "copies": F.count("*").over(same)}), "members")
+    single = publish(single, "single")
+    classes = single.groupBy("node", "copy").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members = publish(single.join(classes, ["node", "copy"]), "members")
     blocks = texts.select("space", "text").mapInArrow(_emit(least, threshold, kept, part), BLOCK_ROWS)
     found = (
         blocks.repartition(shuffle_width(spark), "word", "part").sortWithinPartitions("word", "part", "n")
