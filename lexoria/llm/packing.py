@@ -9,9 +9,9 @@ made on those counts alone, so its size doesn't depend on the number of texts:
 2. what has no exact complement is laid by best fit: the longest first, each into the row with the
    smallest gap that takes it, again for whole counts at a time.
 
-Each step uses up a length or a kind of row, so the plan has a few thousand lines at most. Pieces then
-get their rank among those of their length - counts per partition and offsets, no sort and no group -
-and the plan turns (length, rank) into the row.
+Each step uses up a length or a kind of row, so the plan has a few thousand lines at most. Pieces
+get their rank among those of their length from counts by partition, without a sort or a group of
+all pieces of a length, and the plan turns (length, rank) into the row.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexoria.plans.runtime import publish
+from lexoria.plans.runtime import checked_broadcast, publish
 
 #: Code points that go to the tokenizer at once; see `count_tokens`.
 LONG = 1 << 16
+#: Rows of offsets, one for each partition and length, up to which they are broadcast.
+OFFSETS = 1_000_000
 
 
 @lru_cache(2)
@@ -173,6 +175,33 @@ def _layout(plan: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in out.items()}
 
 
+def _number(capacity: int):
+    """Pieces of each text, ranked among those of their length in this partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, used = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in batches:
+            ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            pieces = np.maximum(1, -(-n // capacity))
+            owner = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            size = np.minimum(n[owner] - piece * capacity, capacity)
+            order = np.argsort(size, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0])[: len(order)]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) - np.repeat(edge, np.diff(np.r_[edge, len(order)]))
+            rank += used[size]
+            used += np.bincount(size, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[owner]), pa.array(piece.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.full(len(owner), part, np.int32)), pa.array(rank)],
+                names=["doc_id", "piece", "n_tokens", "part", "rank"],
+            )
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, start, n_tokens, row_id): the row of each document, or of each of its pieces.
 
@@ -191,59 +220,30 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count_tokens(b.column(1).to_pylist(), tokenizer), pa.int64())], names=["doc_id", "n"])
 
     sized = rows.mapInArrow(measure, "doc_id long, n long").groupBy("doc_id").agg(F.max("n").alias("n"))
-    # written once: partitions must hold the same rows when they are ranked as when they were counted
-    sized = publish(sized.withColumn("part", F.spark_partition_id()), "sizes")
-    whole, last = F.floor(F.col("n") / capacity).cast("long"), F.col("n") % capacity
-    by_part = (
-        sized.groupBy("part", last.alias("k")).agg(F.count("*").alias("c")).where("k > 0 or c > 0")
-        .groupBy("part").agg(F.collect_list(F.struct("k", "c")).alias("kc"))
-    )
-    full = sized.groupBy("part").agg(F.sum(whole).alias("f"), F.sum((F.col("n") == 0).cast("long")).alias("z"))
-    got = sorted(by_part.join(full, "part").collect(), key=lambda r: r["part"])
-    totals: Counter = Counter()
-    offset: dict[int, dict[int, int]] = {}
-    empty = 0
-    for r in got:
-        mine = {x["k"]: x["c"] for x in r["kc"]}
-        # a length of 0 here is a text without tokens or one whose last piece is a full row
-        mine.pop(0, None)
-        if r["f"]:
-            mine[capacity] = r["f"]
-        offset[r["part"]] = {**{k: totals[k] for k in mine}, 0: empty}
-        totals.update(mine)
-        empty += r["z"]
+    # written once, so that ranks stay what they were when they were counted
+    pieces = publish(sized.mapInArrow(_number(capacity), "doc_id long, piece int, n_tokens int, part int, rank long"), "pieces")
+    counts = publish(pieces.groupBy("part", "n_tokens").agg(F.count("*").alias("c")), "counts")
+    before = Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", "n_tokens", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    totals = {r["n_tokens"]: r["c"] for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}
     plan = plan_rows(totals, capacity)
     n_rows = max(1, sum(n for n, _ in plan))
-    shared = spark.sparkContext.broadcast((_layout(plan), offset))
+    shared = spark.sparkContext.broadcast(_layout(plan))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout, offset = shared.value
-        used: dict[int, Counter] = {}
+        layout = shared.value
         for b in batches:
-            ids, n, part = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            pieces = np.maximum(1, -(-n // capacity))
-            owner = np.repeat(np.arange(len(n)), pieces)
-            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            size = np.minimum(n[owner] - piece * capacity, capacity)
-            row = np.zeros(len(owner), np.int64)
-            p = part[owner]
-            order = np.lexsort((size, p))
-            edge = np.flatnonzero(np.r_[True, (size[order][1:] != size[order][:-1]) | (p[order][1:] != p[order][:-1])])
-            for s, e in zip(edge, np.r_[edge[1:], len(order)]):
-                at = order[s:e]
-                k, q = int(size[at[0]]), int(p[at[0]])
-                first = offset[q].get(k, 0) + used.setdefault(q, Counter())[k]
-                rank = first + np.arange(len(at))
-                used[q][k] += len(at)
-                if k == 0:
-                    row[at] = rank % n_rows
-                    continue
-                begin, base, per = layout[k]
-                j = np.searchsorted(begin, rank, side="right") - 1
-                row[at] = base[j] + (rank - begin[j]) // per[j]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner]), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(size.astype(np.int32)), pa.array(row)],
-                names=["doc_id", "piece", "start", "n_tokens", "row_id"],
-            )
-
-    return sized.select("doc_id", "n", "part").mapInArrow(place, "doc_id long, piece int, start long, n_tokens int, row_id long")
+            size, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            row = rank % n_rows
+            order = np.argsort(size, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
+                if size[at[0]]:
+                    begin, base, per = layout[int(size[at[0]])]
+                    j = np.searchsorted(begin, rank[at], side="right") - 1
+                    row[at] = base[j] + (rank[at] - begin[j]) // per[j]
+            start = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * capacity
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), b.column(2), pa.array(row)], names=["doc_id", "piece", "start", "n_tokens", "row_id"])
+
+    ranked = pieces.join(checked_broadcast(offsets, OFFSETS), ["part", "n_tokens"])
+    ranked = ranked.select("doc_id", "piece", "n_tokens", (F.col("rank") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, n_tokens int, row_id long")
