@@ -89,9 +89,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics of every document, rounded to six places."""
-    stats = _statistics(spark, sf_dir)
-    return stats.select("doc_id", *[F.round(c, 6).alias(c) for c in LIMITS]).distinct()
+    """The statistics of every document."""
+    return _statistics(spark, sf_dir).select("doc_id", *LIMITS).distinct()
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_totals, p5_found, p6_pack, p7_found, p8_found, p8_stats)}
@@ -140,7 +139,7 @@ with g as (select id, is_doc, array_to_string(ws[i : i + 11], ' ') as gram from
     select doc_id as id, true as is_doc, regexp_extract_all(strip_accents(lower(text)), '\\p{L}+') as ws from documents where text is not null
     union all select item_id, false, regexp_extract_all(strip_accents(lower(text)), '\\p{L}+') from eval_items)))
 select distinct d.id as doc_id, e.id as item_id from g d join g e on d.gram = e.gram where d.is_doc and not e.is_doc""",
-    "p8_stats": _STATS + "select doc_id, " + ", ".join(f"round({c}, 6) as {c}" for c in LIMITS) + " from s",
+    "p8_stats": _STATS + "select doc_id, " + ", ".join(LIMITS) + " from s",
     "p8_found": _STATS
     + """select doc_id, 'words' as stat from s where words < 20
 union all select doc_id, 'word_len' from s where word_len < 3.5 or word_len > 7.5
