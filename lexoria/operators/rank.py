@@ -48,3 +48,24 @@ def new_numbers(known: DataFrame, names: DataFrame, name: str = "name", number:
     top = known.agg(F.coalesce(F.max(number), F.lit(0)).alias("top")).first()["top"]
     added = global_rank(fresh, [name], "_k").select(name, (F.lit(top) + F.col("_k")).cast("long").alias(number))
     return known.select(name, F.col(number).cast("long").alias(number)).unionByName(added)
+
+
+def running_sum(df: DataFrame, value, within: list[str], order: list, name: str) -> DataFrame:
+    """`df` with `name`: the sum of `value` from the group's first row to this one, in the order.
+
+    Like `global_rank`, without bringing a group together: sums within range partitions, and the sums
+    of the group's partitions before.
+    """
+    keys = [*within, *order]
+    w = shuffle_width(df.sparkSession)
+    ranged = df.repartitionByRange(w, *keys).sortWithinPartitions(*keys).withColumn("_v", value)
+    ranged = publish(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    here = Window.partitionBy("_part", *within).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*[f"_w{i}" for i in range(len(within))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)]).agg(F.sum("_v").alias("_s"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    cond = F.col("_part") == F.col("_p")
+    for i, c in enumerate(within):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    local = ranged.withColumn("_here", F.sum("_v").over(here))
+    return local.join(per, cond, "left").select(*df.columns, (F.col("_here") + F.col("_before")).alias(name))
