@@ -13,14 +13,14 @@ def _order(order: list) -> Column:
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Of each key the row that comes first by `order`; ties by the rest of the row. Nulls come first."""
     rest = [c for c in df.columns if c not in keys]
-    best = F.min(F.struct(_order(order).alias("o"), *rest)).alias("r")
+    best = F.min(F.struct(_order(order).alias("_lex_order"), *rest)).alias("r")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"r.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Of each key the row that comes last by `order`; ties by the rest of the row. Nulls come first."""
     rest = [c for c in df.columns if c not in keys]
-    best = F.max(F.struct(_order(order).alias("o"), *rest)).alias("r")
+    best = F.max(F.struct(_order(order).alias("_lex_order"), *rest)).alias("r")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"r.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 

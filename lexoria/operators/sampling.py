@@ -23,7 +23,7 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0, tak
     """
     fresh = df if taken is None else df.join(taken.select(stratum).distinct(), stratum, "left_anti")
     w = Window.partitionBy(stratum).orderBy(order_key(key, seed), key)
-    new = fresh.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).drop("_nth")
+    new = fresh.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).select(*df.columns)
     return new if taken is None else taken.select(*new.columns).unionByName(new)
 
 
