@@ -544,3 +544,27 @@ def cls_16(spark, sf_dir):
 
 
 QUERIES["cls_13"], ORACLES["cls_13"] = cls_16, ORACLES["cls_16"]
+
+
+@query(f"{BASE}, t as (select corpus_name, cast(sum(o) as bigint) as tokens from c group by 1) select corpus_name, tokens, cast(round_even(500.0::double * tokens / 16969999321, 0) as bigint) as rare_bar, cast(round_even(2000.0::double * tokens / 16969999321, 0) as bigint) as alive_bar from t")
+def cls_04(spark, sf_dir):
+    """Thresholds scaled to the size of a corpus."""
+    t = _counts(spark, sf_dir).groupBy("corpus_name").agg(F.sum("occurrences").alias("tokens"))
+    bar = lambda b: F.bround(F.lit(float(b)) * F.col("tokens") / F.lit(16_969_999_321)).cast("long")
+    return t.select("corpus_name", "tokens", bar(500).alias("rare_bar"), bar(2000).alias("alive_bar"))
+
+
+@query(f"{BASE} select word, round(log10(o / (select sum(o) from w) * 1e9), 6) as zipf from w where o > 0")
+def udf_04(spark, sf_dir):
+    """Zipf frequencies from our own counts."""
+    w = _counts(spark, sf_dir, False).where("occurrences > 0")
+    total = w.agg(F.sum("occurrences").alias("t")).first()["t"] or 0
+    return w.select("word", F.round(C.zipf(F.col("occurrences"), F.lit(total)), 6).alias("zipf"))
+
+
+@query("select d.def_id, coalesce(l.lemma, d.word) as lemma from (select distinct def_id, word from definitions where word is not null) d left join (select form, min(lemma) as lemma from form_lemma where form is not null and lemma is not null group by form) l on l.form = d.word")
+def udf_03(spark, sf_dir):
+    """A lemmatizer that is a table: the form's first lemma, else the word itself."""
+    d, f = read(spark, sf_dir, "definitions", "form_lemma")
+    lem = f.where("form is not null and lemma is not null").groupBy(F.col("form").alias("word")).agg(F.min("lemma").alias("lemma"))
+    return d.where("word is not null").select("def_id", "word").distinct().join(lem, "word", "left").select("def_id", F.coalesce("lemma", "word").alias("lemma"))

@@ -101,4 +101,8 @@ from e left join r on e.table_name = r.table_name and e.node_id = r.node_id""",
     + """, d as (select table_name, node_id as descendant_id, depth, unnest(string_split(node_path, '/')) as a,
        generate_subscripts(string_split(node_path, '/'), 1) as pos from r)
 select table_name, cast(a as bigint) as node_id, descendant_id, cast(depth - pos as int) as distance from d where pos < depth""",
+    "p3_cycles": _EDGES
+    + """, c as (select e.table_name, e.node_id, e.par from e left join r on e.table_name = r.table_name and e.node_id = r.node_id where r.node_id is null),
+w as (select table_name, node_id as s, par as up from c union select w.table_name, w.s, c.par from w join c on c.table_name = w.table_name and c.node_id = w.up)
+select table_name, s as node_id, bool_or(up = s) as on_cycle, bool_or(up = s) and min(up) = s as back_edge from w group by table_name, s""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -230,4 +231,30 @@ def snk_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_store(d, "word", ["def_id", "source_id"])
 
 
+QUERIES["srt_13"], ORACLES["srt_13"] = snk_11, ORACLES["snk_11"]
 
+
+@query("select distinct def_id, word from definitions where def_id % 2 = 1")
+def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table dropped and built anew."""
+    d = read(spark, sf_dir, "definitions").select("def_id", "word").distinct()
+    path = f"{shared_dir(spark)}/lexoria-rebuilt-{spark.sparkContext.applicationId}"
+    for k in range(2):
+        sinks.replace_table(d.where(F.col("def_id") % 2 == k), path)
+    return spark.read.schema(d.schema).parquet(path)
+
+
+@query("select 1 as refused, count(distinct def_id) as n from definitions")
+def snk_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is there already isn't overwritten by accident."""
+    d = read(spark, sf_dir, "definitions").select("def_id").distinct()
+    path = f"{shared_dir(spark)}/lexoria-guarded-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    if sinks.exists(spark, path):
+        sinks.remove(spark, path)
+    sinks.create_table(d, path)
+    refused = 0
+    try:
+        sinks.create_table(d.limit(0), path)
+    except AnalysisException:
+        refused = 1
+    return spark.read.schema(d.schema).parquet(path).agg(F.lit(refused).alias("refused"), F.count("*").alias("n"))

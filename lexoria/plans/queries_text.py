@@ -140,9 +140,9 @@ _both("scl_24", "corpus_word_frequency", "id", {
 _add("scl_25", _on("definitions", "def_id", words=lambda: F.array_join(X.entry_words("definition", "word"), "|")))
 _both("scl_26", "definitions", "def_id", {"plain": (lambda: X.strip_stress("word"), "replace(replace(translate(word, 'áàéèíìóòúùÁÀÉÈÍÌÓÒÚÙ', 'aaeeiioouuAAEEIIOOUU'), chr(769), ''), chr(768), '')")})
 _both("scl_27", "definitions", "def_id", {
-    "head": (lambda: X.entry_headword(F.concat(F.upper("word"), F.lit(" "), F.coalesce("definition", F.lit("")))), None),
+    "head": (lambda: X.entry_headword(F.concat(F.upper(F.regexp_replace("word", "[ﬁﬂﬆ]", "fl")), F.lit(" "), F.coalesce("definition", F.lit("")))),
+             r"lower(replace(replace(translate(regexp_extract(trim(upper(regexp_replace(word, '[ﬁﬂﬆ]', 'fl', 'g')) || ' ' || coalesce(definition, ''), ' '), '^(\p{Lu}[\p{Lu}\-]*)', 1), 'áàéèíìóòúùÁÀÉÈÍÌÓÒÚÙ', 'aaeeiioouuAAEEIIOOUU'), chr(769), ''), chr(768), ''))"),
 })
-del ORACLES["scl_27"]
 
 
 def _scl_28(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,3 +234,14 @@ _both("scl_43", "definitions", "def_id", {
     "header": (lambda: F.array_join(F.slice(X.split_clean("definition", r"\."), 1, 2), " | "),
                "array_to_string(list_slice(list_filter(list_transform(string_split(coalesce(definition, ''), '.'), lambda x: trim(x)), lambda x: x <> ''), 1, 2), ' | ')"),
 })
+QUERIES["src_14"], ORACLES["src_14"] = QUERIES["scl_30"], ORACLES["scl_30"]
+
+
+def _udf_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function registered for SQL text: defined in SQL, so that it is inlined into the plan."""
+    spark.sql("create or replace temporary function strip_diacritics(s string) returns string return translate(lower(s), 'țșţşăâî', 'tstsaai')")
+    read(spark, sf_dir, "definitions").createOrReplaceTempView("lexoria_definitions")
+    return spark.sql("select distinct def_id, strip_diacritics(word) as folded from lexoria_definitions")
+
+
+_add("udf_01", _udf_01, f"select distinct def_id, {_W} as folded from definitions")
