@@ -11,7 +11,7 @@ from lexoria.llm.leaks import find_leaks
 from lexoria.llm.neardup import groups, near_duplicates
 from lexoria.llm.packing import pack
 from lexoria.llm.quality import LIMITS, flag, learn, statistics
-from lexoria.llm.spelling import clean_rows
+from lexoria.llm.spelling import LOOK_ALIKE, clean_rows
 from lexoria.llm.terms import mark_terms, term_totals
 from lexoria.plans.runtime import read
 
@@ -122,6 +122,27 @@ s as (select doc_id, cast(len(w) as double) as words,
       from p, (select list(lower(word)) as words from common_words) c)
 """
 
+def _clean_sql() -> str:
+    """The consistent spelling in SQL, for the characters that occur in the tables."""
+    wide = "".join(chr(k) for k in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F))
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    like, latin = "".join(LOOK_ALIKE), "".join(LOOK_ALIKE.values())
+    other = "".join(c for c in map(chr, range(0x400, 0x460)) if c not in like)
+    return rf"""
+with r as (select 'corpus_word_frequency' as table_name, id as row_id, word as s from corpus_word_frequency where word is not null
+  union select 'form_lemma', form_id, form from form_lemma where form is not null union select 'definitions', def_id, word from definitions where word is not null),
+a as (select *, translate(replace(replace(replace(
+    regexp_replace(regexp_replace(s, '[\x{{AD}}\x{{34F}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FE00}}-\x{{FE0F}}\x{{FEFF}}]', '', 'g'), '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'),
+    'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬆ', 'st'), {q(wide)} || 'ⅰⅴⅹⅼⅽⅾⅿ‐‑‒', {q(plain)} || 'ivxlcdm---') as x from r),
+b as (select *, array_to_string(list_transform(regexp_extract_all(x, '[^ \-]+|[ \-]'), lambda t:
+    case when regexp_full_match(t, '[\p{{Cyrillic}}\p{{M}}]+') and (regexp_matches(t, '[{other}]') or not regexp_matches(x, '\p{{Latin}}')) then t else translate(t, {q(like)}, {q(latin)}) end), '') as y from a),
+c as (select *, trim(translate(nfc_normalize(regexp_replace(regexp_replace(y, '([sStT])\x{{327}}', '\1' || chr(806), 'g'), '([aA])\x{{30C}}', '\1' || chr(774), 'g')), 'şŞţŢǎǍ', 'șȘțȚăĂ'), ' ') as clean from b)
+select table_name, row_id, clean from c where clean <> s"""
+
+
+_CLEAN = _clean_sql()
+
 ORACLES = {
     "p2_found": _SETS
     + """, seldom as (select word, count(*) as df from w group by word),
@@ -146,4 +167,5 @@ union all select doc_id, 'word_len' from s where word_len < 3.5 or word_len > 7.
 union all select doc_id, 'symbols' from s where symbols > 0.125
 union all select doc_id, 'line_end' from s where line_end < 0.5
 union all select doc_id, 'common' from s where common < 0.25""",
+    "p5_found": _CLEAN,
 }
