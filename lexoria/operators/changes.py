@@ -34,8 +34,8 @@ def _upserter(cols: list[str], keys: list[str], order: list[tuple[str, str]]):
     values = [c for c in cols if c not in keys]
     upsert = (
         f"insert into state select {', '.join(names)} from (select *, row_number() over (partition by "
-        f"{', '.join(map(q, keys))} order by {', '.join(f'{q(c)} {way}' for c, way in order)}) as _nth from feed) "
-        f"where _nth = 1 on conflict ({', '.join(map(q, keys))}) do update set "
+        f"{', '.join(map(q, keys))} order by {', '.join(f'{q(c)} {way}' for c, way in order)}) as _lex_nth from feed) "
+        f"where _lex_nth = 1 on conflict ({', '.join(map(q, keys))}) do update set "
         f"{', '.join(f'{q(c)} = excluded.{q(c)}' for c in values)} where {' or '.join(f'({t})' for t in tests)}"
     )
 

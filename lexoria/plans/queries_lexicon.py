@@ -413,11 +413,11 @@ def win_15(spark, sf_dir):
 # --- joins -------------------------------------------------------------------------------------------
 
 
-@query(f"select distinct meaning_id, word, value from {OBJ} where parentId % 5 = 1 or isPos = 1")
+@query(f"select distinct meaning_id, word, value from {OBJ} where parentId > 0 or isPos = 1")
 def jon_02(spark, sf_dir):
     """The chain from senses to tags, with the tags that matter."""
     o = _object_tags(spark, sf_dir)
-    return o.where((F.col("parentId") % 5 == 1) | (F.col("isPos") == 1)).select("meaning_id", "word", "value").distinct()
+    return o.where((F.col("parentId") > 0) | (F.col("isPos") == 1)).select("meaning_id", "word", "value").distinct()
 
 
 @query(f"select distinct word, value from {OBJ} where word in (select word from definitions) union select d.word, t.value from (select distinct def_id, word from definitions where word is not null) d join (select distinct on (id) * from tag order by id, modDate desc) t on t.id = 100 + d.def_id % 600")

@@ -100,10 +100,10 @@ def flt_19(spark, sf_dir):
     return E.scope(words(spark, sf_dir), SHEET, {"q": "AS", "tier": "0"})[0].select("word", "occ")
 
 
-@query(f"{WORDS} select word, occ from words where word in (select word from annotations where user_id % 7 = 0)")
+@query(f"{WORDS} select word, occ from words where word in (select word from annotations where bookmarked = 1)")
 def flt_21(spark, sf_dir):
     """The words of a playlist."""
-    a = read(spark, sf_dir, "annotations").where("user_id % 7 = 0").select("word")
+    a = read(spark, sf_dir, "annotations").where("bookmarked = 1").select("word")
     return E.scope(words(spark, sf_dir), SHEET, {}, a)[0].select("word", "occ")
 
 
@@ -184,10 +184,10 @@ def flt_27(spark, sf_dir):
     return todo.join(d.where("definition <> ''"), "word", "left_anti").join(a, "word", "left_anti").select("word", "o").orderBy("o").limit(50)
 
 
-_HOST = "'https://' || case when def_id % 3 = 0 then 'www.exemplu.ro' when def_id % 3 = 1 then 'altexemplu.ro' else 'exemplu.ro' end || '/x?y=1'"
+_HOST = "'https://' || case source_id when 1 then 'www.exemplu.ro' when 2 then 'altexemplu.ro' else 'exemplu.ro' end || '/x?y=1'"
 
 
-@query("select distinct def_id from definitions where def_id % 3 = 1")
+@query("select distinct def_id from definitions where source_id = 2")
 def flt_28(spark, sf_dir):
     """Results whose host is none of some sites or under them."""
     d = read(spark, sf_dir, "definitions").select("def_id", F.expr(_HOST).alias("url")).distinct()
@@ -676,7 +676,7 @@ def str_08(spark, sf_dir):
     return M.state_changes(read(spark, sf_dir, "events"), "user_id", "ts", F.when(v < 5, "low").when(v < 50, "mid").otherwise("high"), "event_id").select("event_id", "state")
 
 
-@query("""with i as (select user_id as list, word, row_number() over (partition by user_id order by min(seq), word) - 1 as position from annotations where word is not null and seq <= 20 group by 1, 2),
+@query("""with i as (select user_id as list, word, row_number() over (partition by user_id order by min(seq), word) - 1 as position from annotations where word is not null and deleted = 0 group by 1, 2),
 w as (select distinct user_id as list, word from annotations where word is not null and bookmarked = 1), t as (select list, max(position) as top from i group by 1), n as (select list, word, row_number() over (partition by list order by word) as k from (select * from w except select list, word from i))
 select list, word, cast(position as int) as position from i semi join w using (list, word) where position < 1000 union all select n.list, word, cast(coalesce(top, -1) + k as int) from n left join t using (list) where k <= 1000 and coalesce(top, -1) + k < 1000""")
 def str_09(spark, sf_dir):
@@ -684,7 +684,7 @@ def str_09(spark, sf_dir):
     a = read(spark, sf_dir, "annotations").where("word is not null").withColumnRenamed("user_id", "list")
     from lexoria.operators.rank import global_rank
 
-    i = a.where("seq <= 20").groupBy("list", "word").agg(F.min("seq").alias("s"))
+    i = a.where("deleted = 0").groupBy("list", "word").agg(F.min("seq").alias("s"))
     i = publish(global_rank(i, ["s", "word"], "position", ["list"]).select("list", "word", (F.col("position") - 1).alias("position")), "items")
     return M.refresh_list(i, a.where("bookmarked = 1").select("list", "word").distinct())
 

@@ -76,13 +76,13 @@ def src_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, path, "def_id long, source_id int, definition string")
 
 
-_LIST = "concat(word, '\t', coalesce(occurrence_count, -1), case when id % 50 = 0 then '\tx' else '' end)"
+_LIST = "concat(word, '\t', coalesce(occurrence_count, -1), case when document_count is null then '\tx' else '' end)"
 
 
 @query("""
 select word, cast(sum(n) as bigint) as count from (
   select nullif(trim(nfc_normalize(translate(lower(word), 'şţ', 'șț')), ' '), '') as word, coalesce(occurrence_count, -1) as n
-  from (select distinct on (id) * from corpus_word_frequency) where id % 50 <> 0 and word is not null)
+  from (select distinct on (id) * from corpus_word_frequency) where document_count is not null and word is not null)
 where word is not null group by word""")
 def src_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word list of two columns; broken lines are counted, words that normalize alike are summed."""
@@ -205,8 +205,8 @@ def snk_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lexoria-history-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
     if sinks.exists(spark, path):
         sinks.remove(spark, path)
-    for k in range(2):
-        sinks.append_history(d.where(F.col("def_id") % 2 == k), path)
+    for part in (d.where("source_id is null"), d.where("source_id is not null")):
+        sinks.append_history(part, path)
     return spark.read.json(path, schema="def_id long, source_id int").groupBy("source_id").agg(F.count("*").alias("n"))
 
 
@@ -234,13 +234,13 @@ def snk_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["srt_13"], ORACLES["srt_13"] = snk_11, ORACLES["snk_11"]
 
 
-@query("select distinct def_id, word from definitions where def_id % 2 = 1")
+@query("select distinct def_id, word from definitions")
 def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table dropped and built anew."""
     d = read(spark, sf_dir, "definitions").select("def_id", "word").distinct()
     path = f"{shared_dir(spark)}/lexoria-rebuilt-{spark.sparkContext.applicationId}"
-    for k in range(2):
-        sinks.replace_table(d.where(F.col("def_id") % 2 == k), path)
+    for old in (d.where("word is null"), d):
+        sinks.replace_table(old, path)
     return spark.read.schema(d.schema).parquet(path)
 
 
