@@ -286,9 +286,16 @@ def _compare(threshold: float):
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each candidate; a row whose text isn't the one that its id stands for gives nothing."""
+    hashes = _Hashes()
     for b in batches:
-        words = [list(word_set(t)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["node", "words"])
+        texts = b.column(2).to_pylist()
+        rows, sizes, flat = _sets(texts, 1, hashes)
+        space = _spaces(b.column(1).to_pylist(), hashes)[rows]
+        keys = _set_keys(space, np.repeat(np.arange(len(rows)), sizes), flat)
+        same = keys == b.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
+        words = [list(word_set(texts[i])) for i in rows[same].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[same]), pa.array(words, pa.list_(pa.string()))], names=["node", "words"])
 
 
 def alike_sets(texts: DataFrame, threshold: float = 0.7, least: int = 12, part: int = PART) -> tuple[DataFrame, DataFrame]:
@@ -314,8 +321,8 @@ def alike_sets(texts: DataFrame, threshold: float = 0.7, least: int = 12, part:
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = members.groupBy("node").agg(F.min(F.struct("rep", "space")).alias("r")).select("node", F.col("r.space").alias("space"), F.col("r.rep").alias("id"))
     ids = publish(wanted.join(one, "node"), "wanted")
-    words = texts.join(checked_broadcast(ids, BROADCAST_ROWS), ["space", "id"]).groupBy("node").agg(F.max("text").alias("text"))
-    words = words.mapInArrow(_words, "node long, words array<string>")
+    words = texts.join(checked_broadcast(ids, BROADCAST_ROWS), ["space", "id"]).select("node", "space", "text")
+    words = words.mapInArrow(_words, "node long, words array<string>").dropDuplicates(["node"])
     wa = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     wb = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
     pairs = (

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents from which rules are learned, at most about so many.
 LABELLED = 4_000
+#: Words of the list of common words at most; it is part of the plan.
+MOST_COMMON = 10_000
 # Limits of each statistic, (lowest, highest) in range.
 LIMITS = {
     "words": (20, None),
@@ -32,6 +34,14 @@ LINE_ENDS = ".!?…;:\"”»"
 SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
 
 
+def common_list(table: DataFrame, column: str, most: int = MOST_COMMON) -> list[str]:
+    """The words of a list that goes into the plan whole; one of more than `most` words is refused."""
+    words = [r[0] for r in table.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"the list of common words has over {most} words")
+    return words
+
+
 def statistics(docs: DataFrame, common: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, words, word_len, symbols, line_end, common): one row per row of `docs`.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexoria.llm.leaks import find_leaks
 from lexoria.llm.neardup import groups, near_duplicates
 from lexoria.llm.packing import pack
-from lexoria.llm.quality import LIMITS, flag, learn, statistics
+from lexoria.llm.quality import LIMITS, common_list, flag, learn, statistics
 from lexoria.llm.spelling import LOOK_ALIKE, clean_rows
 from lexoria.llm.terms import mark_terms, term_totals
 from lexoria.plans.runtime import read
@@ -78,8 +78,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, common = read(spark, sf_dir, "documents", "common_words")
-    words = [r["word"] for r in common.where("word is not null").limit(10_000).collect()]
-    return statistics(docs, words)
+    return statistics(docs, common_list(common, "word"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,13 @@ def test_large_blocks_use_tiles(spark):
     assert got.count() == len(brute(rows))
 
 
+def test_a_repeated_id_counts_once(spark):
+    a = "una doi trei patru cinci șase șapte opt nouă zece unsprezece doisprezece"
+    rows = [("p", 1, a, ""), ("p", 1, a[::-1], ""), ("p", 2, a + " x", ""), ("p", 3, a[::-1] + " x", "")]
+    got = {(x.id_a, x.id_b) for x in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got in ({(1, 2)}, {(1, 3)})
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).count() == 0 and groups(df).count() == 0
