@@ -71,7 +71,8 @@ def _double(links: DataFrame, paths: bool = False) -> tuple[DataFrame, DataFrame
         start = start.withColumn("path", F.concat_ws("/", "par", "node"))  # concat_ws leaves out a null
     start = start.select(*keep)
     done, rest, table = [start.where("done")], start.where("not done"), start
-    while not rest.isEmpty():
+    left = rest.count()
+    while left:
         t = table.select(*[F.col(c).alias(f"{c}2") for c in keep if c not in ("par", "marks")])
         # a path begins with its pointer and the pointer's own path ends with it: leave one out
         longer = [F.expr("concat(path2, substring(path, length(cast(ptr as string)) + 1))").alias("path")] if paths else []
@@ -81,10 +82,12 @@ def _double(links: DataFrame, paths: bool = False) -> tuple[DataFrame, DataFrame
             ),
             "pointers",
         )
-        ended = step.where("done")
-        if ended.isEmpty():  # no chain is longer than this: the rest hangs on cycles
+        still = step.where("not done").count()
+        if still == left:  # no chain is longer than this: the rest hangs on cycles
+            discard(step)
             break
-        done.append(ended)
+        left = still
+        done.append(step.where("done"))
         rest = step.where("not done")
         table = rest
         for d in done:
@@ -222,10 +225,13 @@ def hierarchy(nodes: DataFrame, big: int = BIG) -> DataFrame:
     if not rest.isEmpty():
         comp = comp.unionByName(_rings(rest).select(*cols))
     comp = publish(comp, "components")
-    huge = publish(comp.groupBy("space", "name").count().where(F.col("count") > big).select("space", "name"), "huge")
-    n_huge = huge.count()
+    n = comp.count()
+    huge, n_huge = None, 0
+    if n > big:
+        huge = publish(comp.groupBy("space", "name").count().where(F.col("count") > big).select("space", "name"), "huge")
+        n_huge = huge.count()
     small = comp if not n_huge else comp.join(checked_broadcast(huge, 100_000, n_huge), ["space", "name"], "left_anti")
-    width = max(shuffle_width(spark), -(-comp.count() // 500_000))
+    width = max(shuffle_width(spark), -(-n // 500_000))
     walked = (
         small.select("space", "name", "node", "par", "marks")
         .repartition(width, "space", "name")
