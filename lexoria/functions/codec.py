@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VERSION = "1"
@@ -22,9 +22,11 @@ def from_base36(c: Column) -> Column:
 
 def pack_ids(lists: DataFrame, key: str, position: str, word_id: str) -> DataFrame:
     """(key, packed): each list's ids in order of position, the first LONGEST of them."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(word_id).alias("w"))))
-    ids = F.transform(F.slice(items, 1, LONGEST), lambda x: to_base36(x["w"]))
-    return lists.where(F.col(word_id).isNotNull()).groupBy(key).agg(F.concat_ws(".", F.lit(VERSION), ids).alias("packed"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(position, word_id))
+    first = lists.where(F.col(word_id).isNotNull()).withColumn("_nth", nth).where(F.col("_nth") <= LONGEST)
+    items = F.array_sort(F.collect_list(F.struct(F.col("_nth").alias("p"), F.col(word_id).alias("w"))))
+    ids = F.transform(items, lambda x: to_base36(x["w"]))
+    return first.groupBy(key).agg(F.concat_ws(".", F.lit(VERSION), ids).alias("packed"))
 
 
 def unpack_ids(lists: DataFrame, key: str, packed: str = "packed") -> DataFrame:

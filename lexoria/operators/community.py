@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexoria.operators.rank import running_sum
+from lexoria.operators.rank import previous, running_sum
 
 
 def _has(tag: str) -> Column:
@@ -82,6 +82,5 @@ def rate_limited(events: DataFrame, who: str, at: str, seconds: int, most: int,
 
 def state_changes(events: DataFrame, who: str, at: str, state: Column, tie: str) -> DataFrame:
     """Rows at which a state differs from the one before; the first row counts if it has one."""
-    w = Window.partitionBy(who).orderBy(at, tie)
-    rows = events.withColumn("state", state).withColumn("_before", F.lag("state").over(w))
+    rows = previous(events.withColumn("state", state), F.col("state"), [who], [at, tie], "_before")
     return rows.where(~F.col("state").eqNullSafe(F.col("_before"))).drop("_before")

@@ -69,3 +69,25 @@ def running_sum(df: DataFrame, value, within: list[str], order: list, name: str)
         cond = cond & F.col(c).eqNullSafe(F.col(f"_w{i}"))
     local = ranged.withColumn("_here", F.sum("_v").over(here))
     return local.join(per, cond, "left").select(*df.columns, (F.col("_here") + F.col("_before")).alias(name))
+
+
+def previous(df: DataFrame, value, within: list[str], order: list, name: str) -> DataFrame:
+    """`df` with `name`: `value` in the group's row before this one in the order, null for the first.
+
+    The row before the first of a range partition is the last of the nearest earlier partition that
+    has rows of the group, so no group comes together in one task.
+    """
+    keys = [*within, *order]
+    w = shuffle_width(df.sparkSession)
+    ranged = df.withColumn("_v", value).repartitionByRange(w, *keys).sortWithinPartitions(*keys)
+    ranged = publish(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    here = Window.partitionBy("_part", *within).orderBy("_id")
+    per = ranged.groupBy(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)]).agg(
+        F.max_by(F.struct("_v"), "_id").alias("_last"), F.min("_id").alias("_first")
+    )
+    per = per.withColumn("_before", F.lag("_last").over(Window.partitionBy(*[f"_w{i}" for i in range(len(within))]).orderBy("_p"))).drop("_last")
+    cond = F.col("_part") == F.col("_p")
+    for i, c in enumerate(within):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    got = ranged.withColumn("_lag", F.lag("_v").over(here)).join(per, cond, "left")
+    return got.select(*df.columns, F.when(F.col("_id") == F.col("_first"), F.col("_before")["_v"]).otherwise(F.col("_lag")).alias(name))

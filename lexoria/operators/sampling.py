@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexoria.operators.rank import global_rank
+
 
 def order_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
@@ -30,4 +32,4 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0, tak
 def of_the_day(df: DataFrame, key: str, day: int) -> DataFrame:
     """The row whose place in the order of keys is the day's number modulo the count."""
     n = df.count()
-    return df.orderBy(key).offset(day % n).limit(1) if n else df.limit(0)
+    return global_rank(df, [key], "_nth").where(F.col("_nth") == day % n + 1).drop("_nth") if n else df.limit(0)

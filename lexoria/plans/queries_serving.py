@@ -9,7 +9,8 @@ from lexoria.functions import text as X
 from lexoria.operators import community as M, corpus as C, explore as E, flags as G, sampling as S, senses as T, synonyms as Y
 from lexoria.operators.changes import apply_changes
 from lexoria.operators.hierarchy import hierarchy
-from lexoria.operators.keyed import first_per_key
+from lexoria.operators.keyed import distinct_in_order, first_per_key
+from lexoria.operators.rank import global_rank
 from lexoria.plans.queries_lexicon import BASE, OBJ, _claims, _counts, _cover, _object_tags
 from lexoria.plans.queries_problems import _EDGES, _nodes
 from lexoria.plans.runtime import publish, read
@@ -328,11 +329,11 @@ def set_06(spark, sf_dir):
     return a.select("word").distinct().join(d.select("word"), "word", "left_semi")
 
 
-@query("select user_id, string_agg(word, '|' order by s, word) as words from (select user_id, word, min(seq) as s from annotations where word is not null group by 1, 2) group by user_id")
+@query("select user_id, word, row_number() over (partition by user_id order by min(seq), word) as nth from annotations where word is not null group by 1, 2")
 def set_07(spark, sf_dir):
     """Distinct words in the order of their first appearance."""
-    a = read(spark, sf_dir, "annotations").where("word is not null").groupBy("user_id", "word").agg(F.min("seq").alias("s"))
-    return a.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "word"))), lambda x: x["word"]), "|").alias("words"))
+    a = read(spark, sf_dir, "annotations").where("word is not null").select("user_id", "word", "seq")
+    return global_rank(distinct_in_order(a, ["user_id", "word"], "seq"), ["seq", "word"], "nth", ["user_id"]).select("user_id", "word", "nth")
 
 
 # --- communities -------------------------------------------------------------------------------------
@@ -682,8 +683,6 @@ select list, word, cast(position as int) as position from i semi join w using (l
 def str_09(spark, sf_dir):
     """A list brought up to date: words that left go, new ones come last."""
     a = read(spark, sf_dir, "annotations").where("word is not null").withColumnRenamed("user_id", "list")
-    from lexoria.operators.rank import global_rank
-
     i = a.where("deleted = 0").groupBy("list", "word").agg(F.min("seq").alias("s"))
     i = publish(global_rank(i, ["s", "word"], "position", ["list"]).select("list", "word", (F.col("position") - 1).alias("position")), "items")
     return M.refresh_list(i, a.where("bookmarked = 1").select("list", "word").distinct())

@@ -135,7 +135,7 @@ def src_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON index of headwords and ids."""
     d = read(spark, sf_dir, "definitions").where("word is not null").select("def_id", "word").distinct()
     pair = F.array(F.concat("word", F.lit("|s.n.")), F.col("def_id").cast("string"))
-    pages = d.groupBy(F.pmod("def_id", F.lit(64)).alias("p")).agg(F.to_json(F.collect_list(pair)).alias("value"))
+    pages = d.groupBy(F.floor(F.col("def_id") / 500).alias("p")).agg(F.to_json(F.collect_list(pair)).alias("value"))
     return files.cross_references(pages)
 
 

@@ -98,8 +98,8 @@ ORACLES["scl_19"] = "select distinct form_id, case when lemma is null then null
 
 def _scl_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's list of annotated words packed and unpacked again (words by the order of first change)."""
-    a = read(spark, sf_dir, "annotations").where("word is not null").groupBy("user_id").agg(F.collect_set("seq").alias("s"))
-    items = a.select("user_id", F.posexplode(F.array_sort("s")).alias("position", "word_id")).where("word_id > 0")
+    a = read(spark, sf_dir, "annotations").where("word is not null and seq > 0")
+    items = a.select("user_id", F.col("seq").alias("position"), F.col("seq").alias("word_id")).distinct()
     return codec.unpack_ids(codec.pack_ids(items, "user_id", "position", "word_id"), "user_id")
 
 

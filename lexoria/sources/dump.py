@@ -77,5 +77,5 @@ def render(df: DataFrame, table: str, columns: list[str], per_line: int = 50) ->
         F.concat(F.lit("'"), F.regexp_replace(F.col(c), r"(['\\])", r"\\$1"), F.lit("'")) if dict(df.dtypes)[c] == "string" else F.col(c).cast("string"), F.lit("NULL")
     )
     row = F.concat(F.lit("("), F.concat_ws(",", *[field(c) for c in columns]), F.lit(")"))
-    packed = df.select(row.alias("row"), F.pmod(F.xxhash64(*columns), F.lit(max(1, 20_000 // per_line))).alias("line"))
+    packed = df.select(row.alias("row"), F.pmod(F.xxhash64(*columns), F.lit(max(1, df.count() // per_line))).alias("line"))
     return packed.groupBy("line").agg(F.concat(F.lit(f"INSERT INTO `{table}` VALUES "), F.array_join(F.collect_list("row"), ","), F.lit(";")).alias("value")).select("value")

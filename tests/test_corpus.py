@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexoria.operators import corpus as C
 from lexoria.operators.keyed import first_per_key, last_per_key, lookup_two_tier, preferred_per_key
-from lexoria.operators.rank import global_rank, new_numbers, percentile_ranks, running_sum
+from lexoria.operators.rank import global_rank, new_numbers, percentile_ranks, previous, running_sum
 
 
 def rolled(spark, freqs, forms, loose=False):
@@ -73,6 +73,9 @@ def test_ranks(spark):
     for v, i in sorted((v, i) for g, v, i in rows if g == "a"):
         total += v
         assert run["a", i] == total
+    before = {(x.g, x.i): x.p for x in previous(df, F.col("i"), ["g"], ["v", "i"], "p").collect()}
+    seq = [i for v, i in sorted((v, i) for g, v, i in rows if g == "a")]
+    assert [before["a", i] for i in seq] == [None, *seq[:-1]]
     assert global_rank(df.where("i < 0"), ["v"]).count() == 0
 
 
