@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
+# Elements without an end tag.
 VOID = {"br", "img", "hr", "input", "meta", "link"}
 
 
@@ -50,7 +51,11 @@ class _Collect(HTMLParser):
             self.text.append(data)
 
 
-def html_entries(cls: str = "defWrapper", body: str = "def", href: str = "/sursa/"):
+# The classes and the link of entries on the pages that are read.
+ENTRY, BODY, SOURCE = "defWrapper", "def", "/sursa/"
+
+
+def html_entries(cls: str = ENTRY, body: str = BODY, href: str = SOURCE):
     """A column function: html -> array<struct<source, text>>, one for each element of class `cls`,
     with the text of its part of class `body` and the end of its link that begins with `href`. Null
     and broken pages give what can be read of them, at worst an empty array."""

@@ -103,7 +103,11 @@ def verdict(hist: Column, hist_docs: Column, modern: Column, shift: Column, rare
     )
 
 
-def scale_bar(bar: int, tokens: int, calibrated: int = 16_969_999_321) -> int:
+# Fixed value: tokens of the corpus by which the thresholds were set.
+CALIBRATED = 16_969_999_321
+
+
+def scale_bar(bar: int, tokens: int, calibrated: int = CALIBRATED) -> int:
     """A threshold calibrated on one corpus size, for another; unscaled without tokens."""
     return round(bar * tokens / calibrated) if tokens else bar
 

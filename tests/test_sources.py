@@ -49,12 +49,12 @@ def test_novels_registry_and_references(spark):
 
 
 def test_html(spark):
-    page = '<div class="defWrapper x"><p class="def">A &lt; <b>b</b><br>c</p><span class="defDetails"><a class="ref" href="/sursa/dcr2">DCR</a></span></div>' * 2 + "<div class='defWrapper'>no body</div><div"
+    page = '<div class="defWrapper x"><p class="def">A &lt; <b>b</b><br>c</p><span class="defDetails"><a class="ref" href="/sursa/ed2">ED</a></span></div>' * 2 + "<div class='defWrapper'>no body</div><div"
     e = html_entries()(F.col("h"))
     df = spark.createDataFrame([(page,), (None,), ("",)], "h string").select(e.alias("e"))
     got = [[tuple(x) for x in r.e] for r in df.collect()]
-    assert got == [[("dcr2", "A < bc")] * 2, [], []]
-    assert [r.t for r in df.select(best_texts("e", ["dcr2"], 1).alias("t")).collect()] == ["A < bc", None, None]
+    assert got == [[("ed2", "A < bc")] * 2, [], []]
+    assert [r.t for r in df.select(best_texts("e", ["ed2"], 1).alias("t")).collect()] == ["A < bc", None, None]
 
 
 def test_codec(spark):
