@@ -3,9 +3,9 @@
 The lengths of all pieces, at most `capacity` different ones, are counted by the cluster; the plan is
 made on those counts alone, so its size doesn't depend on the number of texts:
 
-1. the longest remaining length leaves a gap; an index of sums of single lengths, pairs and triples
-   that are still available is looked up for exactly that gap, and as many rows as the counts allow
-   are made of that combination at once;
+1. the longest remaining length leaves a gap; the available lengths are hashed, and the sums of singles,
+   pairs and triples of them are gone through by the complement to the gap, so that a combination fills
+   it exactly; as many rows as the counts allow are made of each at once;
 2. what has no exact complement is laid by best fit: the longest first, each into the row with the
    smallest gap that takes it, again for whole counts at a time.
 
@@ -80,54 +80,49 @@ def plan_rows(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tu
     """Kinds of rows: (how many, ((length, pieces of it in each such row), ...)), all pieces laid."""
     left = {k: v for k, v in counts.items() if 0 < k <= capacity and v}
     rows: list[tuple[int, Counter]] = []
-    lengths = sorted(left)
-
-    def use(combo: Counter) -> None:
-        n = min(left[k] // c for k, c in combo.items())
-        rows.append((n, combo))
-        for k, c in combo.items():
-            left[k] -= c * n
-            if not left[k]:
-                del left[k]
-                lengths.pop(bisect_left(lengths, k))
-
-    def complement(gap: int, own: int) -> Counter | None:
-        """An available single, pair or triple of exactly this sum, the fewest and longest pieces first."""
-
-        def free(k: int, taken: Counter) -> bool:
-            return left.get(k, 0) - taken[k] > 0
-
-        taken = Counter({own: 1})
-        if free(gap, taken):
-            return Counter([gap])
-        i = bisect_left(lengths, gap)
-        for a in reversed(lengths[:i]):
+    residual: dict[int, int] = {}
+
+    def complements(gap: int):
+        """Singles, pairs and triples of available lengths of exactly this sum, the longest piece first.
+
+        What was passed over stays impossible, as counts only fall, so every sum is gone through once.
+        """
+        if gap in left:
+            yield (gap,)
+        have = sorted((k for k in left if k < gap), reverse=True)
+        for a in have:
             if a * 2 < gap:
                 break
-            if free(a, taken) and free(gap - a, taken + Counter([a])):
-                return Counter([a, gap - a])
-        for a in reversed(lengths[:i]):
+            if gap - a in left:
+                yield a, gap - a
+        for i, a in enumerate(have):
             if a * 3 < gap:
                 break
-            if not free(a, taken):
-                continue
-            with_a, rest = taken + Counter([a]), gap - a
-            for b in reversed(lengths[: bisect_left(lengths, min(a, rest - 1) + 1)]):
+            rest = gap - a
+            for b in have[i:] if a in left else ():
+                if b >= rest:
+                    continue
                 if b * 2 < rest:
                     break
-                if free(b, with_a) and free(rest - b, with_a + Counter([b])):
-                    return Counter([a, b, rest - b])
-        return None
-
-    residual: dict[int, int] = {}
-    while lengths:
-        top = lengths[-1]
-        got = Counter() if top == capacity else complement(capacity - top, top)
-        if got is None:
-            residual[top] = left.pop(top)
-            lengths.pop()
-        else:
-            use(got + Counter([top]))
+                if rest - b in left and b in left:
+                    yield a, b, rest - b
+
+    while left:
+        top = max(left)
+        fills = iter([()]) if top == capacity else complements(capacity - top)
+        while top in left:
+            fill = next(fills, None)
+            if fill is None:
+                residual[top] = left.pop(top)
+                break
+            combo = Counter((top, *fill))
+            n = min(left.get(k, 0) // c for k, c in combo.items())
+            if n:
+                rows.append((n, combo))
+                for k, c in combo.items():
+                    left[k] -= c * n
+                    if not left[k]:
+                        del left[k]
     # best fit: open kinds of rows by their gap
     open_rows: dict[int, list[list]] = {}
     gaps: list[int] = []
