@@ -9,18 +9,33 @@ from lexoria.functions import text as X
 from lexoria.plans.runtime import checked_broadcast
 
 
-def count_words(docs: DataFrame, unit: Column, text: str = "text", vocabulary: DataFrame | None = None, by: list[str] | None = None, most_broadcast: int = 2_000_000) -> DataFrame:
-    """([by], word, occurrences, documents): tokens counted, and in how many units (documents, authors,
-    clips). With a vocabulary (word) only its words. Two levels of counting, so that no set of units is
-    ever held for a word; null texts count for nothing."""
+def count_words(docs: DataFrame, unit: Column | None = None, text: str = "text", vocabulary: DataFrame | None = None, by: list[str] | None = None, most_broadcast: int = 2_000_000) -> DataFrame:
+    """([by], word, occurrences, documents): tokens counted, and in how many units they are.
+
+    Without a unit each row is one: a row's tokens are sorted, the first of each kind is marked, and
+    one grouping by word, combined before its shuffle, counts both. With a unit (an author, a clip)
+    there are two groupings, so that no set of units is ever held for a word. With a vocabulary (word)
+    only its words count; it is broadcast up to a size that is checked. Null texts count for nothing.
+    """
     by = by or []
-    toks = docs.select(*by, unit.alias("_unit"), F.explode(X.tokenize(text)).alias("word"))
+    if unit is None:
+        tokens = F.sort_array(X.tokenize(text))
+        toks = docs.select(*by, tokens.alias("_t")).select(*by, F.explode(_marked(F.col("_t"))).alias("_x")).select(*by, "_x.word", "_x.first")
+    else:
+        toks = docs.select(*by, unit.alias("_unit"), F.explode(X.tokenize(text)).alias("word"))
     if vocabulary is not None:
         toks = toks.join(checked_broadcast(vocabulary.select("word").distinct(), most_broadcast), "word", "left_semi")
+    if unit is None:
+        return toks.groupBy(*by, "word").agg(F.count("*").alias("occurrences"), F.sum("first").alias("documents"))
     per_unit = toks.groupBy(*by, "word", "_unit").agg(F.count("*").alias("n"))
     return per_unit.groupBy(*by, "word").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
 
 
+def _marked(tokens: Column) -> Column:
+    """Sorted tokens with a 1 for the first of each kind."""
+    return F.transform(tokens, lambda w, i: F.struct(w.alias("word"), F.when((i > 0) & (F.get(tokens, i - 1) == w), 0).otherwise(1).alias("first")))
+
+
 def corpus_totals(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """(by, documents, tokens, matched is not looked at): all tokens, not only those of a vocabulary."""
     return docs.groupBy(*by).agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size(X.tokenize(text))), F.lit(0)).alias("tokens"))

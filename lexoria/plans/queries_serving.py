@@ -625,7 +625,7 @@ def grf_05(spark, sf_dir):
 @query(f"with t as (select doc_id, unnest(list_filter(regexp_extract_all(translate(lower(text), 'şţ', 'șț'), '[a-zăâîșț](?:[a-zăâîșț\\-'']*[a-zăâîșț])?'), lambda w: length(w) >= 3)) as word from documents) select word, count(*) as occurrences, count(distinct doc_id) as documents from t group by word", "src_11")
 def str_01(spark, sf_dir):
     """Counts of a stream of documents, batch by batch."""
-    return jobs.count_stream(jobs.source(spark, sf_dir, "documents"), F.col("doc_id"))[0]
+    return jobs.count_stream(jobs.source(spark, sf_dir, "documents"))[0]
 
 
 @query(f"select user_id, word, seq, deleted from {STATE}", "snk_07", "str_03")

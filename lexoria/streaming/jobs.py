@@ -50,7 +50,7 @@ def parts(spark: SparkSession, home: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{home}/out")
 
 
-def count_stream(docs: DataFrame, unit, home: str | None = None) -> tuple[DataFrame, str]:
+def count_stream(docs: DataFrame, unit=None, home: str | None = None) -> tuple[DataFrame, str]:
     """(word, occurrences, documents) of a stream of documents. Every batch leaves its counts under its own
     number, so a batch that is run again replaces its counts and none is added twice."""
     home = run(docs, "count", "append", lambda df, i, out: _parts(count_words(df, unit), i, out), home)

@@ -57,6 +57,8 @@ def test_counts_by_author(spark):
     vocab = spark.createDataFrame([("cuvânt",), ("jupâneșică",), ("altul",)], "word string")
     got = {r.word: (r.occurrences, r.documents) for r in C.count_words(df, F.coalesce("author", F.concat(F.lit("__"), "id")), vocabulary=vocab).collect()}
     assert got == {"cuvânt": (4, 1), "jupâneșică": (1, 1), "altul": (2, 2)}
+    rows = {r.word: (r.occurrences, r.documents) for r in C.count_words(df).collect()}
+    assert rows == {"cuvânt": (4, 3), "jupâneșică": (1, 1), "altul": (2, 2), "necuvânt": (1, 1), "zzz": (1, 1)}
     assert C.corpus_totals(df, ["author"]).where("author = 'A'").first().tokens == 7
 
 
