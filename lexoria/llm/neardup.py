@@ -43,6 +43,24 @@ EXPAND = 8
 BROADCAST_ROWS = 500_000
 
 
+class _Seen:
+    """Which keys of a batch a partition hasn't had yet; forgets when full, so that a key may come again."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.keys: set[int] = set()
+        self.most = most
+
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.keys) > self.most:
+            self.keys.clear()
+        out = np.zeros(len(keys), bool)
+        for i, k in enumerate(keys.tolist()):
+            if k not in self.keys:
+                self.keys.add(k)
+                out[i] = True
+        return out
+
+
 class _Hashes:
     """64-bit hashes of words, kept for the words seen lately."""
 
@@ -95,16 +113,17 @@ def _first_pass(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        total, hashes = np.zeros(BUCKETS, np.int64), _Hashes()
+        total, hashes, seen = np.zeros(BUCKETS, np.int64), _Hashes(), _Seen()
         names = ["space", "id", "node", "copy", "chunk", "counts"]
         for b in batches:
             texts = b.column(2).to_pylist()
             rows, sizes, flat = _sets(texts, least, hashes)
             if not len(rows):
                 continue
-            total += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            space = _spaces(b.column(0).to_pylist(), hashes)[rows]
-            nodes = _set_keys(space, np.repeat(np.arange(len(rows)), sizes), flat)
+            space, owner = _spaces(b.column(0).to_pylist(), hashes)[rows], np.repeat(np.arange(len(rows)), sizes)
+            nodes = _set_keys(space, owner, flat)
+            once = flat[seen.new(nodes)[owner]]  # equal sets of a partition meet others once, and count once
+            total += np.bincount((once % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             same = [xxhash.xxh3_64_intdigest(texts[i].encode("utf-8", "surrogatepass")) for i in rows.tolist()]
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +190,7 @@ def _emit(least: int, threshold: float, counts, part: int):
     """The blocks that each set of a partition meets others in; equal sets of a partition go once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, hashes, seen = counts.value, _Hashes(), set()
+        df, hashes, seen = counts.value, _Hashes(), _Seen()
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
@@ -181,13 +200,7 @@ def _emit(least: int, threshold: float, counts, part: int):
                 space = _spaces(b.column(0).to_pylist(), hashes)[rows]
                 owner = np.repeat(np.arange(len(rows)), sizes)
                 keys = _set_keys(space, owner, flat)
-                new = np.zeros(len(rows), bool)
-                for i, k in enumerate(keys.tolist()):
-                    if k not in seen:
-                        seen.add(k)
-                        new[i] = True
-                if len(seen) > 1 << 20:
-                    seen.clear()  # a set may then go twice, which blocks don't mind
+                new = seen.new(keys)
                 if not new.any():
                     continue
                 bits = _bitmaps(len(rows), owner, flat)
