@@ -61,25 +61,35 @@ class _Seen:
         return out
 
 
-class _Hashes:
-    """64-bit hashes of words, kept for the words seen lately."""
+def _hash(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class _Hashes(dict):
+    """Numbers of the words seen lately, given as they come, and the 64-bit hash of each number's word."""
 
     def __init__(self, most: int = 1 << 19) -> None:
-        self.known: dict[str, int] = {}
-        self.most = most
+        super().__init__()
+        self.most, self.list, self.array = most, [], np.zeros(0, np.uint64)
 
-    def __call__(self, words: list[str]) -> list[int]:
-        import xxhash
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self.list)
+        self.list.append(_hash(word))
+        return k
 
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, out = self.known, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        return out
+    def forget(self) -> None:
+        """Start anew if there are too many; not between numbering and `take`."""
+        if len(self.list) > self.most:
+            self.clear()
+            self.list.clear()
+            self.array = np.zeros(0, np.uint64)
+
+    def take(self, numbers: list[int]) -> np.ndarray:
+        if len(self.array) < len(self.list):
+            self.array = np.concatenate([self.array, np.array(self.list[len(self.array) :], np.uint64)])
+        return self.array[np.array(numbers, np.int64)]
 
 
 def word_set(text: str | None) -> set[str]:
@@ -89,19 +99,20 @@ def word_set(text: str | None) -> set[str]:
 
 def _sets(texts: list, least: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the rows with enough words, their sizes, and all their word hashes in one array."""
-    rows, sizes, flat = [], [], []
+    hashes.forget()
+    rows, sizes, flat, number = [], [], [], hashes.__getitem__
     for i, text in enumerate(texts):
         words = word_set(text)
         if len(words) >= least:
             rows.append(i)
             sizes.append(len(words))
-            flat += hashes(list(words))
-    return np.array(rows, np.int64), np.array(sizes, np.int64), np.array(flat, np.uint64)
+            flat.extend(map(number, words))
+    return np.array(rows, np.int64), np.array(sizes, np.int64), hashes.take(flat)
 
 
-def _spaces(names: list, hashes: _Hashes) -> np.ndarray:
+def _spaces(names: list) -> np.ndarray:
     """A hash of each row's space, by which words and nodes of different spaces are told apart."""
-    known = {x: h for x, h in zip(set(names), hashes([f"\x00{x}" for x in set(names)]))}
+    known = {x: _hash(f"\x00{x}") for x in set(names)}
     return np.fromiter((known[x] for x in names), np.uint64, len(names))
 
 
@@ -120,7 +131,7 @@ def _first_pass(least: int):
             rows, sizes, flat = _sets(texts, least, hashes)
             if not len(rows):
                 continue
-            space, owner = _spaces(b.column(0).to_pylist(), hashes)[rows], np.repeat(np.arange(len(rows)), sizes)
+            space, owner = _spaces(b.column(0).to_pylist())[rows], np.repeat(np.arange(len(rows)), sizes)
             nodes = _set_keys(space, owner, flat)
             once = flat[seen.new(nodes)[owner]]  # equal sets of a partition meet others once, and count once
             total += np.bincount((once % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
@@ -197,7 +208,7 @@ def _emit(least: int, threshold: float, counts, part: int):
                 rows, sizes, flat = _sets(b.column(1).to_pylist(), least, hashes)
                 if not len(rows):
                     continue
-                space = _spaces(b.column(0).to_pylist(), hashes)[rows]
+                space = _spaces(b.column(0).to_pylist())[rows]
                 owner = np.repeat(np.arange(len(rows)), sizes)
                 keys = _set_keys(space, owner, flat)
                 new = seen.new(keys)
@@ -304,7 +315,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(2).to_pylist()
         rows, sizes, flat = _sets(texts, 1, hashes)
-        space = _spaces(b.column(1).to_pylist(), hashes)[rows]
+        space = _spaces(b.column(1).to_pylist())[rows]
         keys = _set_keys(space, np.repeat(np.arange(len(rows)), sizes), flat)
         same = keys == b.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
         words = [list(word_set(texts[i])) for i in rows[same].tolist()]
