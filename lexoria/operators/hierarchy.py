@@ -4,7 +4,8 @@ A node has one parent at most, so a component of such links has either one root
 
 1. Components: every node points at its parent, and pointers are doubled until they end at a root.
    A round that ends no pointer shows that the rest never ends: those lie on or under a cycle, and
-   keep doubling with the smallest node met, which becomes the component's name.
+   are named by the smallest node of their cycle: in one task if they are up to `big` nodes, else by
+   doubling on with the smallest node met.
 2. Components of up to `big` nodes are brought together and walked depth first by an iterative
    traversal with node colours (white, grey, black); a link to a grey node closes a cycle.
 3. Larger components never meet in one task: their paths are doubled along with the pointers.
@@ -98,8 +99,11 @@ def _double(links: DataFrame, paths: bool = False) -> tuple[DataFrame, DataFrame
     return all_done.withColumnRenamed("ptr", "root").drop("done"), rest
 
 
-def _rings(rest: DataFrame) -> DataFrame:
+def _rings(rest: DataFrame, big: int) -> DataFrame:
     """(space, node, par, marks, name, on_cycle): the name is the smallest node of the cycle above."""
+    if rest.count() <= big:
+        cols = "space string, node long, par long, marks int"
+        return publish(rest.select("space", "node", "par", "marks").repartition(1).mapInArrow(_ring_walk, cols + ", name long, on_cycle boolean"), "rings")
     low = F.least("node", "par").alias("low")
     now = publish(rest.select("space", "node", "par", "marks", F.col("par").alias("ptr"), low), "ring")
     steps, n = 1, now.count()
@@ -125,6 +129,36 @@ def _rings(rest: DataFrame) -> DataFrame:
     )
 
 
+def _ring_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `_rings` gives, for few enough nodes to be in one task: go up from every node once."""
+    t = pa.Table.from_batches(batches, schema=_REST)
+    if not len(t):
+        return
+    keys = list(zip(t.column("space").to_pylist(), t.column("node").to_pylist()))
+    up = {k: (k[0], p) for k, p in zip(keys, t.column("par").to_pylist())}
+    name: dict[tuple, int] = {}
+    ring: set[tuple] = set()
+    for start in keys:
+        trail, place, at = [], {}, start
+        while at not in name and at not in place:
+            place[at] = len(trail)
+            trail.append(at)
+            at = up[at]
+        if at not in name:  # back on this trail: a new cycle
+            cycle = trail[place[at] :]
+            ring.update(cycle)
+            name.update(dict.fromkeys(cycle, min(n for _, n in cycle)))
+        for k in trail:
+            name.setdefault(k, name[at])
+    yield pa.RecordBatch.from_arrays(
+        [*(c.combine_chunks() for c in t.columns), pa.array([name[k] for k in keys]), pa.array([k in ring for k in keys])],
+        names=[*t.column_names, "name", "on_cycle"],
+    )
+
+
+_REST = pa.schema([("space", pa.string()), ("node", pa.int64()), ("par", pa.int64()), ("marks", pa.int32())])
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Depth-first traversal of each component; rows come in order of (space, name)."""
     schema = pa.schema(
@@ -223,7 +257,7 @@ def hierarchy(nodes: DataFrame, big: int = BIG) -> DataFrame:
     cols = ["space", "node", "par", "marks", "name", "on_cycle"]
     comp = done.withColumnRenamed("root", "name").withColumn("on_cycle", F.lit(False)).select(*cols)
     if not rest.isEmpty():
-        comp = comp.unionByName(_rings(rest).select(*cols))
+        comp = comp.unionByName(_rings(rest, big).select(*cols))
     comp = publish(comp, "components")
     n = comp.count()
     huge, n_huge = None, 0
