@@ -165,19 +165,17 @@ def clean_array(column: pa.Array) -> pa.Array:
     only_cyrillic = in_word(script == CYRILLIC) & ~in_word(letter & (script != CYRILLIC))
     stays = only_cyrillic & (in_word(true_cyrillic) | ~row_latin) & ~edge
     cp = np.where(stays, cp, like)
-    # marks in their canonical order: by class, in the run of marks after a letter
+    # marks that belong to Romanian letters: the comma below for s and t, the breve for a; then marks in
+    # their canonical order: by class, in the run of marks after a letter
     if len(cp) > 1:
+        own = (t.ccc[cp] > 0) & np.r_[False, row[1:] == row[:-1]]
+        run = np.maximum.accumulate(np.where(own, 0, np.arange(len(cp))))
+        base = cp[run] | 0x20
+        cp = np.where(own & (cp == CEDILLA) & ((base == ord("s")) | (base == ord("t"))), COMMA, cp)
+        cp = np.where(own & (cp == CARON) & (base == ord("a")), BREVE, cp)
         ccc = t.ccc[cp]
-        own = (ccc > 0) & np.r_[False, row[1:] == row[:-1]]
         if (own[1:] & (ccc[:-1] > ccc[1:])).any():
-            run = np.maximum.accumulate(np.where(own, 0, np.arange(len(cp))))
             cp = cp[np.lexsort((ccc, run))]
-    # marks that belong to Romanian letters: the comma below for s and t, the breve for a
-    if len(cp) > 1:
-        base = np.r_[0, cp[:-1]] | 0x20
-        same = np.r_[False, row[1:] == row[:-1]]
-        cp = np.where(same & (cp == CEDILLA) & ((base == ord("s")) | (base == ord("t"))), COMMA, cp)
-        cp = np.where(same & (cp == CARON) & (base == ord("a")), BREVE, cp)
     # composition: the first marks of all letters at once, then the second ones and so on. A mark that
     # stays keeps later ones of its own class, or a lower one, from the letter
     if len(cp) > 1:

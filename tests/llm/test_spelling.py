@@ -32,11 +32,10 @@ def brute(text):
             out += w
         else:
             out += "".join(LOOK_ALIKE.get(c, c) for c in w)
-    out = unicodedata.normalize("NFD", out)
-    done = ""
-    for i, c in enumerate(out):
-        before = out[i - 1].lower() if i else ""
-        done += "̦" if c == "̧" and before in ("s", "t") else "̆" if c == "̌" and before == "a" else c
+    done, base = "", ""
+    for c in unicodedata.normalize("NFD", out):
+        base = base if unicodedata.combining(c) else c.lower()
+        done += "̦" if c == "̧" and base in ("s", "t") else "̆" if c == "̌" and base == "a" else c
     return " ".join(unicodedata.normalize("NFC", done).split())
 
 
