@@ -153,7 +153,7 @@ def clean_array(column: pa.Array) -> pa.Array:
         row = np.repeat(row, size)
     cp = np.where(t.space[cp], BLANK, cp)
     # words: runs between blanks and hyphens. One with Cyrillic letters only stays as it is, unless all
-    # of its letters look Latin and the string has Latin letters in other words
+    # of its letters look Latin and the string has, or gets, Latin letters in other words
     like, script = t.like[cp], t.script[cp]
     edge = (cp == BLANK) | (like == HYPHEN)
     word = np.cumsum(edge | np.r_[True, row[1:] != row[:-1]][: len(cp)]) if len(cp) else np.zeros(0, np.int64)
@@ -161,8 +161,9 @@ def clean_array(column: pa.Array) -> pa.Array:
     letter = (t.ccc[cp] == 0) & ~edge
     in_word = lambda mask: np.bincount(word, mask, k)[word] > 0 if k else mask
     true_cyrillic = (script == CYRILLIC) & (like == cp)
-    row_latin = (np.bincount(row, (script == LATIN), n)[row] > 0) if n else script == LATIN
     only_cyrillic = in_word(script == CYRILLIC) & ~in_word(letter & (script != CYRILLIC))
+    latin = (script == LATIN) | (letter & (like != cp) & ~only_cyrillic)  # those that are or become so
+    row_latin = (np.bincount(row, latin, n)[row] > 0) if n else latin
     stays = only_cyrillic & (in_word(true_cyrillic) | ~row_latin) & ~edge
     cp = np.where(stays, cp, like)
     # marks that belong to Romanian letters: the comma below for s and t, the breve for a; then marks in

@@ -18,12 +18,15 @@ def brute(text):
     text = "".join(" " if c.isspace() else c for c in text)
     text = "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "～" or "Ⅰ" <= c <= "ⅿ" or c in "ﬁﬂﬆ" else c for c in text)
     text = unicodedata.normalize("NFD", text)
-    words, has_latin = [""], any(unicodedata.name(c, "").startswith("LATIN") for c in text)
+    words = [""]
     for c in text:
         if c in " -‐‑－":
             words += ["-" if c != " " else " ", ""]
         else:
             words[-1] += c
+    cyrillic = lambda c: unicodedata.name(c, "").startswith("CYRILLIC")
+    mixed = [c for w in words for c in w if not all(cyrillic(x) for x in w if not unicodedata.combining(x))]
+    has_latin = any(unicodedata.name(c, "").startswith("LATIN") or c in LOOK_ALIKE for c in mixed)
     out = ""
     for w in words:
         letters = [c for c in w if not unicodedata.combining(c)]
