@@ -8,6 +8,7 @@ name and renamed when complete, so that a lost executor never loses it and a rea
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +35,7 @@ def session(name: str = "lexoria", **conf: str) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where the setting is absent (tests) a folder of our own."""
+    ship(spark)
     at = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
     if not at:
         at = getattr(spark.sparkContext, "_lexoria_dir", None)
@@ -43,6 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per context, wherever they run and start."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lexoria_shipped", False):
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        if os.path.isdir(package):
+            made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lexoria-"), "lexoria"), "zip", os.path.dirname(package), os.path.basename(package))
+            sc.addPyFile(made)
+        sc._lexoria_shipped = True
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -94,5 +107,6 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def read(spark: SparkSession, sf_dir: str, *tables: str):
     """One DataFrame per named table of a directory of Parquet tables."""
+    ship(spark)
     got = [spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in tables]
     return got[0] if len(got) == 1 else got
