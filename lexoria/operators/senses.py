@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as X
+from lexoria.plans.runtime import publish
 
 SENSE, ETYMOLOGY, CITATION, COMMENT, COMPOUND, EXPRESSION = range(6)
 
@@ -45,3 +49,62 @@ def render(u: DataFrame, citations: DataFrame) -> DataFrame:
     )
     full = u.join(c, "meaning_id", "left").withColumn("full", F.concat_ws(" ◊ ", "text", "quoted"))
     return full.groupBy("tree_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "full"))), lambda x: x["full"]), " | ").alias("text"))
+
+
+def entry_text(meanings: list[tuple]) -> str:
+    """Meanings (id, parent, type, display_order, breadcrumb, text) as one text: senses, compounds and
+    expressions depth first, joined by ' | ', each with the citations (' ◊ ') and etymologies (' – ') right
+    under it; senses of a single word are pointers to other trees and left out."""
+    ids, below, units, seen = {m[0] for m in meanings}, defaultdict(list), [], set()
+    meanings = sorted(meanings, key=lambda m: (m[3], m[0]))
+    for m in meanings:
+        below[m[1]].append(m)
+    shown = [m for m in meanings if m[2] in (SENSE, COMPOUND, EXPRESSION)]
+    for top in [m for m in shown if m[1] not in ids] + shown:
+        stack = [top]
+        while stack:
+            m = stack.pop()
+            if m[0] not in seen:
+                seen.add(m[0])
+                units.append(m)
+                stack += [c for c in reversed(below[m[0]]) if c[2] in (SENSE, COMPOUND, EXPRESSION)]
+    parts = []
+    for m in units:
+        if m[2] == SENSE and m[5] and " " not in m[5]:
+            continue
+        body = f"{m[4]} {m[5]}".strip()
+        for c in below[m[0]]:
+            if c[2] in (ETYMOLOGY, CITATION) and c[5]:
+                body += (" – " if c[2] == ETYMOLOGY else " ◊ ") + c[5]
+        if body:
+            parts.append(body)
+    return " | ".join(parts)
+
+
+def definitions_from_trees(definitions: DataFrame, entry_definitions: DataFrame, tree_entries: DataFrame, meanings: DataFrame) -> DataFrame:
+    """(def_id, status, definition): each definition's text from the trees of its entries, or what is
+    missing on the way: no_entry, no_tree, no_meanings, no_text. `definitions`: def_id; `entry_definitions`:
+    def_id, entry_id; `tree_entries`: entry_id, tree_id; `meanings`: one row per meaning_id, with tree_id,
+    parent_id, type, display_order, breadcrumb, text."""
+    entries = entry_definitions.join(definitions.select("def_id"), "def_id", "left_semi").distinct()
+    trees = publish(entries.join(tree_entries, "entry_id").select("def_id", "tree_id").distinct(), "def-trees")
+    text = X.clean_markup("text")
+    text = F.trim(F.regexp_replace(F.replace(F.regexp_replace(text, r"\[\d+\]", ""), F.lit("__"), F.lit("")), r"\s+", " "))
+    zero, none = F.lit(0), F.lit("")
+    m = meanings.select(
+        "tree_id", "meaning_id", F.coalesce("parent_id", zero).alias("parent_id"), F.coalesce("type", F.lit(-1)).alias("type"),
+        F.coalesce("display_order", zero).alias("display_order"), F.coalesce("breadcrumb", none).alias("breadcrumb"), F.coalesce(text, none).alias("text"),
+    )
+
+    def render_all(key, rows: pd.DataFrame) -> pd.DataFrame:
+        cols = ("meaning_id", "parent_id", "type", "display_order", "breadcrumb", "text")
+        return pd.DataFrame({"def_id": [key[0]], "text": [entry_text(list(zip(*[rows[c] for c in cols], strict=True)))]})
+
+    texts = trees.join(m, "tree_id").groupBy("def_id").applyInPandas(render_all, "def_id long, text string")
+    flag = lambda df, c: df.select("def_id").distinct().withColumn(c, F.lit(True))
+    got = definitions.join(flag(entries, "e"), "def_id", "left").join(flag(trees, "t"), "def_id", "left").join(texts, "def_id", "left")
+    status = (
+        F.when(F.col("e").isNull(), "no_entry").when(F.col("t").isNull(), "no_tree").when(F.col("text").isNull(), "no_meanings")
+        .when(F.col("text") == "", "no_text").otherwise("ok")
+    )
+    return got.select(*definitions.columns, status.alias("status"), F.nullif("text", none).alias("definition"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as X
+from lexoria.operators.rank import global_rank
+from lexoria.plans.runtime import publish
 
 
 def aliases(main: DataFrame, variants: DataFrame) -> DataFrame:
@@ -22,6 +24,76 @@ def relation_edges(relations: DataFrame, tree_words: DataFrame) -> DataFrame:
     return relations.join(source, "source_tree", "left_semi").join(target, "target_tree").select("sid", "word", "type").distinct()
 
 
+def expand_trees(tree_entries: DataFrame, entry_lexemes: DataFrame) -> DataFrame:
+    """(tree_id, word, position): main lexemes of a tree's entries in the order of the ranks, each word at
+    its first place, from 0. `tree_entries`: tree_id, entry_id, entry_rank; `entry_lexemes`: entry_id, word,
+    lexeme_rank, main."""
+    rows = tree_entries.join(entry_lexemes.where("main = 1 and word <> ''"), "entry_id")
+    first = rows.groupBy("tree_id", "word").agg(F.min(F.struct("entry_rank", "entry_id", "lexeme_rank")).alias("at"))
+    w = Window.partitionBy("tree_id").orderBy("at", "word")
+    return first.select("tree_id", "word", (F.row_number().over(w) - 1).alias("position"))
+
+
+def tree_synonyms(meanings: DataFrame, trees: DataFrame, shortlist: DataFrame, relations: DataFrame) -> DataFrame:
+    """(meaning_id, word, tree_id, type, synonyms): meanings of the trees of listed words; of senses also the
+    words of the trees that relations of type 1 lead to, in the relations' order, joined by '|', null if
+    there are none. Relations to trees that there aren't are dropped. `meanings`: meaning_id, tree_id, type;
+    `trees`: tree_id, word; `shortlist`: word; `relations`: id, meaning_id, target_tree, type."""
+    kept = meanings.select("meaning_id", "tree_id", "type").join(trees.join(shortlist, "word", "left_semi"), "tree_id")
+    rel = relations.where("type = 1").select("id", "meaning_id", F.col("target_tree").alias("tree_id"))
+    rel = rel.join(kept.where("type = 0").select("meaning_id"), "meaning_id", "left_semi")
+    hit = rel.join(trees.where("word <> ''").withColumnRenamed("word", "synonym"), "tree_id").groupBy("meaning_id")
+    hit = hit.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "synonym"))), lambda x: x["synonym"]), "|").alias("synonyms"))
+    return kept.join(hit, "meaning_id", "left").select("meaning_id", "word", "tree_id", "type", "synonyms")
+
+
+def merge_scrape(words: DataFrame, keys: DataFrame, sense_word: DataFrame, edges: DataFrame, scraped: DataFrame, base: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New words (word, word_id), new senses (sid, word) and all edges (sid, word, type, src) after lists of
+    synonyms (type 1) and antonyms (type 2) were read row by row.
+
+    A form is a word of that form, else the first word that has it as a key, else a new word with keys of
+    its own. A row's list hangs on its word's lowest sense, or on a new one from `base`; edges that are
+    there keep their source, new ones have 1. `words`: word, word_id; `keys`: key, word; `sense_word`: sid,
+    word; `scraped`: pos, word, synonyms, antonyms.
+
+    Only new forms depend on the order of rows: one without marks is the first new word that folds to it,
+    if that came before. All others are resolved by joins.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    rows = scraped.withColumn("word", X.normalize("word")).where("word <> ''")
+    parts = []
+    for kind, c in ((1, "synonyms"), (2, "antonyms")):
+        t = rows.select("pos", F.posexplode(F.split(c, ",")).alias("i", "t")).withColumn("t", strip(F.col("t")))
+        parts.append(t.where((F.col("t") != "") & ~X.is_dirty_token("t")).select("pos", F.lit(kind).alias("kind"), "i", X.normalize("t").alias("form")))
+    heads = rows.select("pos", F.lit(0).alias("kind"), F.lit(0).alias("i"), F.col("word").alias("form"))
+    terms = publish(heads.unionByName(parts[0]).unionByName(parts[1]), "terms")
+
+    first = terms.groupBy("form").agg(F.min(F.struct("pos", "kind", "i")).alias("at"))
+    every = keys.select("key", "word").unionByName(aliases(words, words.select("word", F.col("word").alias("variant"))))
+    keyed = every.join(words, "word").groupBy(F.col("key").alias("form")).agg(F.min_by("word", "word_id").alias("by_key"))
+    got = first.join(words.select(F.col("word").alias("form"), F.lit(True).alias("own")), "form", "left").join(keyed, "form", "left")
+    got = publish(got.withColumn("known", F.when(F.col("own"), F.col("form")).otherwise(F.col("by_key"))).select("form", "at", "known"), "forms")
+    marked = got.where("known is null").select(X.fold("form").alias("plain"), "form", "at").where("plain <> form")
+    marked = marked.groupBy(F.col("plain").alias("form")).agg(F.min(F.struct("at", "form")).alias("m"))
+    before = F.col("m.at") < F.col("at")
+    word = F.coalesce("known", F.when(before, F.col("m.form")), "form")
+    got = publish(got.join(marked, "form", "left").select("form", "at", "known", word.alias("word")), "resolved")
+
+    top = words.agg(F.coalesce(F.max("word_id"), F.lit(0)).alias("t")).first()["t"]
+    fresh = got.where("known is null and word = form").select("word", "at.pos", "at.kind", "at.i")
+    new_words = global_rank(fresh, ["pos", "kind", "i"], "k").select("word", (F.lit(top) + F.col("k")).cast("long").alias("word_id"))
+
+    named = terms.join(got.select("form", "word"), "form").select("pos", "kind", "word")
+    old = sense_word.groupBy("word").agg(F.min("sid").alias("old"))
+    own = publish(named.where("kind = 0").select("pos", "word").join(old, "word", "left"), "heads")
+    new_senses = global_rank(own.where("old is null").groupBy("word").agg(F.min("pos").alias("pos")), ["pos"], "k").select((F.lit(base - 1) + F.col("k")).cast("long").alias("sid"), "word")
+    new_senses = publish(new_senses, "senses")
+    at = own.join(new_senses, "word", "left").select("pos", F.coalesce("old", "sid").cast("long").alias("sid"))
+    added = named.where("kind > 0").join(at, "pos").select("sid", "word", F.col("kind").alias("type")).distinct()
+    added = added.join(edges, ["sid", "word", "type"], "left_anti").select("sid", "word", "type", F.lit(1).alias("src"))
+    return new_words, new_senses, edges.select("sid", "word", "type", "src").unionByName(added)
+
+
 def merge_sources(edges: DataFrame) -> DataFrame:
     """(sid, word, type, src): each edge once, of the source that comes first."""
     return edges.groupBy("sid", "word", "type").agg(F.min("src").alias("src"))

@@ -9,7 +9,7 @@ from lexoria.functions import text as X
 from lexoria.operators import community as M, corpus as C, explore as E, flags as G, sampling as S, senses as T, synonyms as Y
 from lexoria.operators.changes import apply_changes
 from lexoria.operators.hierarchy import hierarchy
-from lexoria.operators.keyed import distinct_in_order, first_per_key
+from lexoria.operators.keyed import distinct_in_order, first_per_key, last_per_key
 from lexoria.operators.rank import global_rank
 from lexoria.plans.queries_lexicon import BASE, OBJ, _claims, _counts, _cover, _object_tags
 from lexoria.plans.queries_problems import _EDGES, _nodes
@@ -514,7 +514,7 @@ def tre_03(spark, sf_dir):
     return T.merge_homonyms(T.units(_m1(spark, sf_dir)))
 
 
-@query(f"{ATT}, c as (select att.unit_id, string_agg(m1.text, ' ◊ ' order by att.meaning_id) as q from att join m1 using (meaning_id) group by 1) select tree_id, string_agg(text || case when q is null then '' else ' ◊ ' || q end, ' | ' order by ord) as text from u left join c on c.unit_id = u.meaning_id group by tree_id", "jon_20", "jon_21")
+@query(f"{ATT}, c as (select att.unit_id, string_agg(m1.text, ' ◊ ' order by att.meaning_id) as q from att join m1 using (meaning_id) group by 1) select tree_id, string_agg(text || case when q is null then '' else ' ◊ ' || q end, ' | ' order by ord) as text from u left join c on c.unit_id = u.meaning_id group by tree_id")
 def scl_32(spark, sf_dir):
     """Trees as text."""
     m1 = publish(_m1(spark, sf_dir), "meanings")
@@ -523,6 +523,48 @@ def scl_32(spark, sf_dir):
     return T.render(u, c)
 
 
+def _latest(spark, sf_dir):
+    return last_per_key(read(spark, sf_dir, "meanings"), ["meaning_id"], [F.coalesce("mod_date", F.lit(-1))])
+
+
+@query()
+def jon_20(spark, sf_dir):
+    """Articles of one edition from the trees of their entries, or where the chain breaks (an ordered walk:
+    no SQL). Stand-ins: a lemma is an entry, linked to the articles of its name and to the trees of its
+    name; the links of every seventh tree lead nowhere."""
+    d, f = read(spark, sf_dir, "definitions", "form_lemma")
+    m = publish(_latest(spark, sf_dir), "meanings")
+    d = d.where("word <> ''").select("def_id", "word", "source_id").distinct()
+    of = d.groupBy("word").agg(F.sort_array(F.collect_set("source_id")).alias("s"))
+    mine = publish(d.where("source_id = 3").select("def_id", "word"), "edition")
+    e = mine.join(f.select(F.col("lemma").alias("word")).distinct(), "word", "left_semi").select("def_id", F.col("word").alias("entry_id"))
+    te = m.select(F.col("word").alias("entry_id"), F.when(F.col("tree_id") % 7 == 0, -F.col("tree_id")).otherwise(F.col("tree_id")).alias("tree_id")).distinct()
+    got = T.definitions_from_trees(mine, e, te, m).join(of, "word")
+    return got.select("def_id", X.normalize("word").alias("word"), "status", "definition", F.size("s").alias("n_sources"), F.array_join(F.col("s").cast("array<string>"), ",").alias("source_ids"))
+
+
+_NORM = "nfc_normalize(translate(lower({}), 'şţ', 'șț'))"
+
+
+@query(f"""with {M1}, tr as (select tree_id, {_NORM.format("min(word)")} as word from m1 where word is not null group by 1),
+sl as (select distinct {_NORM.format("word")} as word from annotations where bookmarked = 1 and word is not null),
+kept as (select meaning_id, tr.word, tree_id, type from m1 join tr using (tree_id) where tr.word in (select word from sl)),
+rel as (select meaning_id * 2 + k as id, meaning_id, tree_id + 1 + k as target, 1 + meaning_id // (k + 1) % 3 as type from m1, (values (0), (1)) v(k)),
+hit as (select meaning_id, string_agg(tr.word, '|' order by rel.id) as synonyms from rel join tr on tr.tree_id = target where rel.type = 1 and tr.word <> '' and meaning_id in (select meaning_id from kept where type = 0) group by 1)
+select kept.meaning_id, kept.word, kept.tree_id, kept.type, synonyms from kept left join hit using (meaning_id)""")
+def jon_21(spark, sf_dir):
+    """Meanings of listed words and the synonyms of their senses. Stand-ins: bookmarked words are the list;
+    a meaning has a relation to each of the two next trees, the last of which there aren't."""
+    m = publish(_m1(spark, sf_dir), "meanings")
+    trees = m.where("word is not null").groupBy("tree_id").agg(F.min("word").alias("word")).withColumn("word", X.normalize("word"))
+    short = read(spark, sf_dir, "annotations").where("bookmarked = 1").select(X.normalize("word").alias("word")).distinct()
+    rel = m.select("meaning_id", "tree_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select(
+        (F.col("meaning_id") * 2 + F.col("k")).alias("id"), "meaning_id", (F.col("tree_id") + 1 + F.col("k")).alias("target_tree"),
+        F.expr("1 + (meaning_id div (k + 1)) % 3").alias("type"),
+    )
+    return Y.tree_synonyms(m, trees, short, rel)
+
+
 # --- the graph of words: a lemma is a sense, its forms are linked to it -------------------------------
 
 GRAPH = f"""{BASE}, se as (select lemma as word, min(form_id) as sid from form_lemma where lemma is not null group by 1),
@@ -579,13 +621,37 @@ def win_11(spark, sf_dir):
     return spark.createDataFrame(got, "ring int, parent string, word string")
 
 
-@query("select sid, word, type, min(src) as src from (select def_id as sid, word, cast(source_id % 4 as int) as type, cast(user_id % 3 as int) as src from definitions where word is not null) group by 1, 2, 3", "grf_02")
+@query("select sid, word, type, min(src) as src from (select def_id as sid, word, cast(source_id % 4 as int) as type, cast(user_id % 3 as int) as src from definitions where word is not null) group by 1, 2, 3")
 def grf_04(spark, sf_dir):
     """Each edge once, of the first source that has it."""
     e = read(spark, sf_dir, "definitions").where("word is not null").select(F.col("def_id").alias("sid"), "word", (F.col("source_id") % 4).cast("int").alias("type"), (F.col("user_id") % 3).cast("int").alias("src"))
     return Y.merge_sources(e)
 
 
+def _scraped(spark, sf_dir):
+    se, ed, _ = _graph(spark, sf_dir)
+    se, ed = publish(se, "senses"), publish(ed, "edges")
+    v = ed.join(se.withColumnRenamed("word", "head"), "sid").select(F.col("word").alias("variant"), F.col("head").alias("word"))
+    d = read(spark, sf_dir, "definitions").select("def_id", "source_id", "word", "definition").distinct()
+    listed = F.translate("definition", ".;!?", ",,,,")
+    rows = d.select(F.col("def_id").alias("pos"), "word", F.when(F.col("source_id") % 4 != 0, listed).alias("synonyms"), F.when(F.col("source_id") % 4 == 0, listed).alias("antonyms"))
+    have = F.col("sid") % 2 == 0
+    return Y.merge_scrape(se.select("word", F.col("sid").alias("word_id")), Y.aliases(se, v), se.where(have), ed.where(have), rows, 1_000_000_000)
+
+
+@query()
+def grf_02(spark, sf_dir):
+    """Edges after lists of synonyms and antonyms were merged into the graph (depends on the order of rows:
+    no SQL). Stand-ins: articles are the lists, cut at marks; every other lemma has a sense."""
+    return _scraped(spark, sf_dir)[2]
+
+
+@query()
+def grf_02_senses(spark, sf_dir):
+    """The senses that `grf_02` makes."""
+    return _scraped(spark, sf_dir)[1]
+
+
 @query("with g as (select distinct 2000000000 + source_id as sid, word from definitions where word is not null and source_id is not null) select sid, word, 1 as type, 2 as src from g where sid in (select sid from g group by sid having count(*) > 1)", "jon_17")
 def grf_03(spark, sf_dir):
     """Groups as senses of their own."""
@@ -594,7 +660,7 @@ def grf_03(spark, sf_dir):
     return Y.cliques(g, none, 2_000_000_000)[1]
 
 
-@query("with tw as (select distinct tree_id, word from meanings where word is not null), rel as (select distinct meaning_id as sid, tree_id as source_tree, tree_id + 1 as target_tree, cast(1 + type % 4 as int) as type from meanings) select distinct sid, tw.word, type from rel join tw on tw.tree_id = target_tree where source_tree in (select tree_id from tw)", "jon_15")
+@query("with tw as (select distinct tree_id, word from meanings where word is not null), rel as (select distinct meaning_id as sid, tree_id as source_tree, tree_id + 1 as target_tree, cast(1 + type % 4 as int) as type from meanings) select distinct sid, tw.word, type from rel join tw on tw.tree_id = target_tree where source_tree in (select tree_id from tw)")
 def jon_16(spark, sf_dir):
     """Edges of relations between trees."""
     m = read(spark, sf_dir, "meanings")
@@ -603,6 +669,21 @@ def jon_16(spark, sf_dir):
     return Y.relation_edges(rel, tw)
 
 
+@query("""with tw as (select distinct tree_id, word from meanings where word is not null),
+te as (select tree_id, word as entry, 0 as r from tw union all select tree_id - 1, word, 1 from tw where tree_id % 2 = 1),
+x as (select te.tree_id, f.form as word, r, entry, form_id, row_number() over (partition by te.tree_id, f.form order by r, entry, form_id) as k
+  from te join form_lemma f on f.lemma = te.entry where form_id % 3 <> 2 and f.form <> '')
+select tree_id, word, row_number() over (partition by tree_id order by r, entry, form_id, word) - 1 as position from x where k = 1""")
+def jon_15(spark, sf_dir):
+    """The words of trees in order. Stand-ins: a lemma is an entry, its forms the lexemes, two of three of
+    them main; a tree has the entry of its word, and one with an even number that of the next tree too."""
+    m, f = read(spark, sf_dir, "meanings", "form_lemma")
+    tw = m.where("word is not null").select("tree_id", F.col("word").alias("entry_id")).distinct()
+    te = tw.withColumn("entry_rank", F.lit(0)).unionByName(tw.where("tree_id % 2 = 1").select((F.col("tree_id") - 1).alias("tree_id"), "entry_id", F.lit(1).alias("entry_rank")))
+    el = f.select(F.col("lemma").alias("entry_id"), F.col("form").alias("word"), F.col("form_id").alias("lexeme_rank"), (F.col("form_id") % 3 != 2).cast("int").alias("main"))
+    return Y.expand_trees(te, el)
+
+
 @query(f"{GRAPH} select se.word, coalesce(band, 0) as band from se left join bd using (word) where starts_with(translate(lower(se.word), 'țșţşăâî', 'tstsaai'), 'st') order by 2 desc, 1 limit 8", "jon_19")
 def grf_06(spark, sf_dir):
     """Words that a beginning suggests."""
