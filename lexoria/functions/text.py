@@ -233,6 +233,36 @@ def human_count(c: Column | str) -> Column:
     )
 
 
+@F.pandas_udf(StringType())
+def _one_place(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if pd.isna(v) else f"{v:.1f}")  # of halves the even one, unlike format_string
+
+
+def grouped_count(c: Column | str) -> Column:
+    """12,345 with commas; from a million on 1.2M, from a billion on 1.2B."""
+    n = _col(c)
+    return (
+        F.when(n >= 1_000_000_000, F.concat(_one_place(n / 1e9), F.lit("B"))).when(n >= 1_000_000, F.concat(_one_place(n / 1e6), F.lit("M")))
+        .otherwise(F.format_number(n, 0))
+    )
+
+
+def human_size(c: Column | str) -> Column:
+    """Bytes as B, KB, MB, GB or TB; all but bytes with one decimal place."""
+    n = _col(c)
+    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = out.when(n < 1024 ** (k + 1), F.concat(_one_place(n / float(1024**k)), F.lit(f" {unit}")))
+    return out.when(n.isNotNull(), F.concat(_one_place(n / float(1024**4)), F.lit(" TB")))
+
+
+def relative_time(at: Column | str, now: Column) -> Column:
+    """How long before `now`: 'just now' (also if later), or whole minutes, hours or days."""
+    s = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(_col(at).cast("timestamp"))) / 1_000_000)
+    part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(s < 60, "just now").when(s < 3600, part(60, "m")).when(s < 86400, part(3600, "h")).when(s.isNotNull(), part(86400, "d"))
+
+
 def human_duration(seconds: Column | str) -> Column:
     s = _col(seconds).cast("long")
     return (

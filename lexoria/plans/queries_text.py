@@ -211,6 +211,19 @@ _both("scl_37", "corpus_word_frequency", "id", {
                  "case when occurrence_count is null then null when occurrence_count >= 3600 then printf('%dh %02dm', occurrence_count // 3600, occurrence_count % 3600 // 60) when occurrence_count >= 60 then printf('%dm %02ds', occurrence_count // 60, occurrence_count % 60) else occurrence_count || 's' end"),
     "thousands": (lambda: F.when(F.col("occurrence_count") < 1000, X.human_count("occurrence_count")), "case when occurrence_count < 1000 then occurrence_count || '' end"),
 })
+_NOW = "2026-01-01 00:00:00"
+_AGO = f"cast(floor((epoch_us(timestamp '{_NOW}') - epoch_us(last_updated)) / 1000000) as bigint)"
+_both("scl_37_all", "corpus_word_frequency", "id", {
+    "short": (lambda: X.human_count("occurrence_count"),
+              # format_string rounds halves up
+              "case when occurrence_count >= 1000000000 then printf('%.1fB', round(occurrence_count / 1e9, 1)) when occurrence_count >= 1000000 then printf('%.1fM', round(occurrence_count / 1e6, 1)) when occurrence_count >= 1000 then printf('%.1fk', round(occurrence_count / 1e3, 1)) else occurrence_count || '' end"),
+    "grouped": (lambda: X.grouped_count("occurrence_count"),
+                "case when occurrence_count >= 1000000000 then printf('%.1fB', occurrence_count / 1e9) when occurrence_count >= 1000000 then printf('%.1fM', occurrence_count / 1e6) else format('{:,}', occurrence_count) end"),
+    "size": (lambda: X.human_size("occurrence_count"),
+             "case when occurrence_count < 1024 then occurrence_count || ' B' when occurrence_count < 1048576 then printf('%.1f KB', occurrence_count / 1024.0::double) when occurrence_count < 1073741824 then printf('%.1f MB', occurrence_count / 1048576.0::double) when occurrence_count < 1099511627776 then printf('%.1f GB', occurrence_count / 1073741824.0::double) when occurrence_count is not null then printf('%.1f TB', occurrence_count / 1099511627776.0::double) end"),
+    "ago": (lambda: X.relative_time("last_updated", F.lit(_NOW)),
+            f"case when {_AGO} < 60 then 'just now' when {_AGO} < 3600 then ({_AGO} // 60) || 'm ago' when {_AGO} < 86400 then ({_AGO} // 3600) || 'h ago' when {_AGO} is not null then ({_AGO} // 86400) || 'd ago' end"),
+})
 _both("scl_38", "definitions", "def_id", {"url": (lambda: X.page_url("https://exemplu.ro/cuvant/", "word"), "'https://exemplu.ro/cuvant/' || url_encode(word)")})
 
 
