@@ -245,12 +245,49 @@ def srt_03(spark, sf_dir):
     return E.page(w, E.ordered(None, [F.desc("occ")], demote="s", pin=pin), size=100).select("word", "occ")
 
 
-@query(f"{WORDS} select word, occ from words order by occ desc, word limit 250 offset 250", "srt_05", "srt_06", "srt_08")
+@query(f"{WORDS} select word, occ from words order by occ desc, word limit 250 offset 250")
 def srt_04(spark, sf_dir):
     """The second page."""
     return E.page(words(spark, sf_dir), E.ordered(None, [F.desc("occ")]), 2).select("word", "occ")
 
 
+_SEAM = "case when dict_count >= 3 then 'relevant' else 'curiosity' end"
+
+
+@query(f"{WORDS} select word, {_SEAM} as seam, row_number() over (order by {_SEAM} <> 'relevant', dict_count desc, case tier when '2' then 0 when '1' then 1 else 2 end, occ desc, word) as place from words")
+def srt_05(spark, sf_dir):
+    """All words by seam, falling score, tier and falling frequency, with their places."""
+    w = words(spark, sf_dir).select("word", F.when(F.col("dict_count") >= 3, "relevant").otherwise("curiosity").alias("seam"), "dict_count", "tier", "occ")
+    k = w.select("word", "seam", (F.col("seam") != "relevant").cast("int").alias("s"), (-F.col("dict_count")).alias("q"), (2 - F.col("tier").cast("int")).alias("t"), (-F.col("occ")).alias("o"))
+    return global_rank(k, ["s", "q", "t", "o", "word"], "place").select("word", "seam", "place")
+
+
+@query(f"""{WORDS} select 'occurrences' as result, word from (select word from words order by occ desc, word limit 20)
+union all select 'documents', word from (select word from words order by docs desc, word limit 30)
+union all select 'tier ' || tier, word from (select tier, word, row_number() over (partition by tier order by dict_count desc, occ desc, word) as k from words) where k <= 200""")
+def srt_06(spark, sf_dir):
+    """The top of each of several results: 20 by occurrences, 30 by documents, 200 of each tier."""
+    w = publish(words(spark, sf_dir), "words")
+    top = lambda df, name, n, *keys: E.page(df, E.ordered(None, list(keys)), size=n).select(F.lit(name).alias("result"), "word")
+    out = top(w, "occurrences", 20, F.desc("occ")).unionByName(top(w, "documents", 30, F.desc("docs")))
+    for t in ("0", "1", "2"):
+        out = out.unionByName(top(w.where(F.col("tier") == t), f"tier {t}", 200, F.desc("dict_count"), F.desc("occ")))
+    return out
+
+
+_ONE = "select word, occ, row_number() over (partition by folded order by word <> folded, occ desc, word) as k from"
+
+
+@query(f"""{WORDS} select 'after' as taken, word from (select word from ({_ONE} words) where k = 1 order by occ desc, word limit 1000)
+union all select 'before', word from ({_ONE} (select * from words order by occ desc, word limit 1000)) where k = 1""")
+def srt_08(spark, sf_dir):
+    """The first 1000, of words that fold alike one: the limit taken after that and the sort, or before."""
+    w = publish(words(spark, sf_dir).select("word", "occ", "folded"), "words")
+    one = lambda df: first_per_key(df, ["folded"], [F.col("word") != F.col("folded"), -F.col("occ"), "word"])
+    first = lambda df: E.page(df, E.ordered(None, [F.desc("occ")]), size=1000)
+    return first(one(w)).select(F.lit("after").alias("taken"), "word").unionByName(one(first(w)).select(F.lit("before").alias("taken"), "word"))
+
+
 @query("select tree_id, string_agg(breadcrumb, ',' order by list_transform(regexp_extract_all(breadcrumb, '\\d+'), lambda x: cast(x as bigint)), meaning_id) as crumbs from (select distinct meaning_id, tree_id, breadcrumb from meanings where breadcrumb <> '') group by tree_id")
 def srt_07(spark, sf_dir):
     """Breadcrumbs in the order of their numbers."""
