@@ -39,6 +39,8 @@ PART = 8192
 TILE = 256
 #: Copies of one text up to which each takes part by itself; of more, the first stands for all.
 EXPAND = 8
+#: For `expand`: copies are paired one by one however many there are.
+EVERY = 1 << 62
 #: Candidates' keys up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexoria.llm.leaks import find_leaks
-from lexoria.llm.neardup import groups, near_duplicates
+from lexoria.llm.neardup import EVERY, groups, near_duplicates
 from lexoria.llm.packing import pack
 from lexoria.llm.quality import LIMITS, common_list, flag, learn, statistics
 from lexoria.llm.spelling import LOOK_ALIKE, clean_rows
@@ -24,8 +24,8 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of articles, and of sense texts, that share at least 0.7 of their words."""
-    return near_duplicates(_articles(spark, sf_dir)).withColumnRenamed("space", "table_name")
+    """Pairs of articles, and of sense texts, that share at least 0.7 of their words; all pairs of copies too."""
+    return near_duplicates(_articles(spark, sf_dir), expand=EVERY).withColumnRenamed("space", "table_name")
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
