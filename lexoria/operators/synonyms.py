@@ -108,6 +108,24 @@ def cliques(groups: DataFrame, edges: DataFrame, base: int, src: int = 2) -> tup
     return g, g.select("sid", "word", F.lit(1).alias("type"), F.lit(src).alias("src"))
 
 
+def tree_pairs(members: DataFrame, tree_entries: DataFrame, linked: DataFrame) -> DataFrame:
+    """(tree_id, a, b), a < b: words of one tree of several entries that no edge of type 1 links, in either
+    direction. `members`: tree_id, word; `tree_entries`: tree_id, entry_id; `linked`: a, b."""
+    several = tree_entries.groupBy("tree_id").agg(F.count_distinct("entry_id").alias("n")).where("n > 1")
+    m = members.join(several, "tree_id", "left_semi").select("tree_id", "word").distinct()
+    pairs = m.withColumnRenamed("word", "a").join(m.withColumnRenamed("word", "b"), "tree_id").where("a < b")
+    seen = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(seen, ["a", "b"], "left_anti").select("tree_id", "a", "b")
+
+
+def tree_cliques(pairs: DataFrame, has_edge: DataFrame, base: int, src: int = 2) -> DataFrame:
+    """(sid, word, type, src, gains): edges of type 5 of the words of `tree_pairs`; `gains` is 1 for a word
+    that had no edge (`has_edge`: word), so that its sum is the number of words that gain a first one."""
+    w = pairs.select((F.lit(base) + F.col("tree_id")).alias("sid"), F.explode(F.array("a", "b")).alias("word")).distinct()
+    had = has_edge.select("word").distinct().withColumn("had", F.lit(1))
+    return w.join(had, "word", "left").select("sid", "word", F.lit(5).alias("type"), F.lit(src).alias("src"), (1 - F.coalesce("had", F.lit(0))).alias("gains"))
+
+
 def neighbours(sense_word: DataFrame, edge: DataFrame, kind: int = 1, words: DataFrame | None = None) -> DataFrame:
     """(word, sid, member): both ways through senses, the word itself left out. With `words` (word) only
     theirs."""

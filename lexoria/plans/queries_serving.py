@@ -689,7 +689,7 @@ def grf_02_senses(spark, sf_dir):
     return _scraped(spark, sf_dir)[1]
 
 
-@query("with g as (select distinct 2000000000 + source_id as sid, word from definitions where word is not null and source_id is not null) select sid, word, 1 as type, 2 as src from g where sid in (select sid from g group by sid having count(*) > 1)", "jon_17")
+@query("with g as (select distinct 2000000000 + source_id as sid, word from definitions where word is not null and source_id is not null) select sid, word, 1 as type, 2 as src from g where sid in (select sid from g group by sid having count(*) > 1)")
 def grf_03(spark, sf_dir):
     """Groups as senses of their own."""
     g = read(spark, sf_dir, "definitions").where("word is not null and source_id is not null").select(F.col("source_id").cast("long").alias("group_id"), "word")
@@ -721,6 +721,40 @@ def jon_15(spark, sf_dir):
     return Y.expand_trees(te, el)
 
 
+def _tree_graph(spark, sf_dir):
+    """Words of trees, entries and relations as in `jon_15` and `jon_16`."""
+    m, f = read(spark, sf_dir, "meanings", "form_lemma")
+    tw = m.where("word is not null").select("tree_id", F.col("word").alias("entry_id")).distinct()
+    te = tw.unionByName(tw.where("tree_id % 2 = 1").select((F.col("tree_id") - 1).alias("tree_id"), "entry_id"))
+    x = publish(jon_15(spark, sf_dir).select("tree_id", "word"), "tree-words")
+    rel = m.select("tree_id", (F.col("tree_id") + 1).alias("target"), (1 + F.col("type") % 4).alias("type")).distinct()
+    to = x.select(F.col("tree_id").alias("target"), F.col("word").alias("b"))
+    links = publish(rel.join(x.withColumnRenamed("word", "a"), "tree_id").join(to, "target").select("a", "b", "type").distinct(), "links")
+    return Y.tree_pairs(x, te, links.where("type = 1 and a <> b")), links.select(F.explode(F.array("a", "b")).alias("word"))
+
+
+_PAIRS = """with tw as (select distinct tree_id, word from meanings where word is not null),
+te as (select tree_id, word as entry from tw union select tree_id - 1, word from tw where tree_id % 2 = 1),
+x as (select distinct te.tree_id, f.form as word from te join form_lemma f on f.lemma = te.entry where form_id % 3 <> 2 and f.form <> ''),
+lk as (select distinct s.word as a, t.word as b, r.type from (select distinct tree_id, 1 + type % 4 as type from meanings where type is not null) r join x s using (tree_id) join x t on t.tree_id = r.tree_id + 1),
+l1 as (select distinct least(a, b) as a, greatest(a, b) as b from lk where type = 1 and a <> b),
+pr as (select p.tree_id, p.word as a, q.word as b from x p join x q on p.tree_id = q.tree_id and p.word < q.word
+  where p.tree_id in (select tree_id from te group by 1 having count(distinct entry) > 1) and not exists (select 1 from l1 where l1.a = p.word and l1.b = q.word))"""
+
+
+@query(f"{_PAIRS} select tree_id, a, b from pr")
+def jon_17(spark, sf_dir):
+    """Pairs of words of one tree that aren't linked yet."""
+    return _tree_graph(spark, sf_dir)[0]
+
+
+@query(f"""{_PAIRS}, he as (select a as word from lk union select b from lk), m as (select tree_id, a as word from pr union select tree_id, b from pr)
+select 2000000000 + tree_id as sid, m.word, 5 as type, 2 as src, cast(he.word is null as int) as gains from m left join he using (word)""")
+def grf_03_trees(spark, sf_dir):
+    """Trees as senses of their own: words with an unlinked mate, and which gain a first edge."""
+    return Y.tree_cliques(*_tree_graph(spark, sf_dir), 2_000_000_000)
+
+
 @query(f"{GRAPH} select se.word, coalesce(band, 0) as band from se left join bd using (word) where starts_with(translate(lower(se.word), 'țșţşăâî', 'tstsaai'), 'st') order by 2 desc, 1 limit 8", "jon_19")
 def grf_06(spark, sf_dir):
     """Words that a beginning suggests."""

@@ -136,3 +136,11 @@ def test_merge_scrape(spark):
             spark.createDataFrame(edges, "sid long, word string, type int, src int"), spark.createDataFrame(scraped, "pos long, word string, synonyms string, antonyms string"), 1000,
         )
         assert tuple(rows(x) for x in got) == want
+
+
+def test_linked_words_of_a_tree_are_left_out(spark):
+    m = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "d")], "tree_id long, word string")
+    te = spark.createDataFrame([(1, 7), (1, 8), (2, 9)], "tree_id long, entry_id long")
+    pairs = Y.tree_pairs(m, te, spark.createDataFrame([("b", "a"), ("a", "c")], "a string, b string"))
+    assert rows(pairs) == [(1, "b", "c")]
+    assert rows(Y.tree_cliques(pairs, spark.createDataFrame([("b",)], "word string"), 100)) == [(101, "b", 5, 2, 0), (101, "c", 5, 2, 1)]
