@@ -60,6 +60,17 @@ def src_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.tuples(lines, "Tag").select(F.size(dump.fields(F.col("tuple"))).alias("n_fields")).groupBy("n_fields").agg(F.count("*").alias("n"))
 
 
+ALL_TAG = ["id", "parentId", "value", "color", "icon", "iconOnly", "tooltip", "public", "isPos", "createDate", "modDate"]
+
+
+@query("select distinct id, unnest(range(0, 11)) as position, unnest([id || '', parentId || '', value, color || '', icon, iconOnly || '', tooltip, public || '', isPos || '', createDate || '', modDate || '']) as value from tag")
+def src_05_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of every row by its position, nulls too."""
+    t = dump.tuples(dump.render(read(spark, sf_dir, "tag"), "Tag", ALL_TAG), "Tag").select(dump.fields(F.col("tuple")).alias("f"))
+    t = t.select(dump.decode(F.col("f")[0]).cast("long").alias("id"), F.posexplode("f").alias("position", "field"))
+    return t.select("id", F.col("position").cast("long").alias("position"), dump.decode(F.col("field")).alias("value")).distinct()
+
+
 @query("select distinct meaning_id, tree_id, type from meanings")
 def src_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of whole numbers only."""
