@@ -101,6 +101,19 @@ def checked_broadcast(df: DataFrame, max_rows: int, count: int | None = None) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of `df` as they lie in memory, counted; nested values by their text."""
+    wide = {"string": "octet_length({})", "binary": "octet_length({})"}
+    fixed = sum(8 for _ in df.dtypes) + 16
+    parts = [f"coalesce(sum({wide.get(t, 'octet_length(cast({} as string))').format(f'`{c}`')}), 0)" for c, t in df.dtypes if t in wide or t.startswith(("array", "map", "struct"))]
+    return df.agg(F.expr(" + ".join([f"count(1) * {fixed}", *parts])).alias("n")).first()["n"]
+
+
+def broadcast_within(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Hint a broadcast only if the rows of `df` have at most `max_bytes` bytes; beyond it the join shuffles."""
+    return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
