@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexoria.llm.leaks import find_leaks
-from lexoria.llm.neardup import EVERY, groups, near_duplicates
+from lexoria.llm.neardup import EVERY, copies, groups, near_duplicates
 from lexoria.llm.packing import pack
 from lexoria.llm.quality import LIMITS, common_list, flag, learn, statistics
 from lexoria.llm.spelling import LOOK_ALIKE, clean_rows
@@ -33,6 +33,11 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_articles(spark, sf_dir)).withColumnRenamed("space", "table_name")
 
 
+def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and sense texts that stand more than once: each with the first of its copies and their number."""
+    return copies(_articles(spark, sf_dir)).withColumnRenamed("space", "table_name")
+
+
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_totals(read(spark, sf_dir, "corpus_word_frequency"), "word", "occurrence_count", "document_count", "id")
 
@@ -92,15 +97,21 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir).select("doc_id", *LIMITS).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_totals, p5_found, p6_pack, p7_found, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_copies, p4_found, p4_totals, p5_found, p6_pack, p7_found, p8_found, p8_stats)}
 
-_SETS = """
-with t as (
+_PAIRS = """
+t as (
   select 'definitions' as table_name, def_id as id, definition as text from definitions where definition is not null
   union select 'meanings', meaning_id, text from meanings where text is not null),
 s as (select table_name, id, list_distinct(regexp_extract_all(lower(text), '\\p{L}+')) as words from t),
-w as (select table_name, id, len(words) as n, unnest(words) as word from s where len(words) >= 12)
-"""
+w as (select table_name, id, len(words) as n, unnest(words) as word from s where len(words) >= 12),
+seldom as (select word, count(*) as df from w group by word),
+r as (select w.*, row_number() over (partition by table_name, id order by df, word) as k from w join seldom using (word)),
+c as (select distinct a.table_name, a.id as id_a, b.id as id_b from r a join r b on a.table_name = b.table_name and a.word = b.word and a.id < b.id
+      where a.k <= a.n - ceil(0.7 * a.n) + 1 and b.k <= b.n - ceil(0.7 * b.n) + 1),
+pairs as (select c.table_name, c.id_a, c.id_b from c
+join s x on x.table_name = c.table_name and x.id = c.id_a join s y on y.table_name = c.table_name and y.id = c.id_b
+where len(list_intersect(x.words, y.words)) >= 0.7 * (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))))"""
 
 _SUMS = """
 (select word, cast(sum(coalesce(occurrence_count, 0)) as bigint) as occurrences, cast(sum(coalesce(document_count, 0)) as bigint) as documents,
@@ -143,14 +154,15 @@ select table_name, row_id, clean from c where clean <> s"""
 _CLEAN = _clean_sql()
 
 ORACLES = {
-    "p2_found": _SETS
-    + """, seldom as (select word, count(*) as df from w group by word),
-r as (select w.*, row_number() over (partition by table_name, id order by df, word) as k from w join seldom using (word)),
-c as (select distinct a.table_name, a.id as id_a, b.id as id_b from r a join r b on a.table_name = b.table_name and a.word = b.word and a.id < b.id
-      where a.k <= a.n - ceil(0.7 * a.n) + 1 and b.k <= b.n - ceil(0.7 * b.n) + 1)
-select c.table_name, c.id_a, c.id_b from c
-join s x on x.table_name = c.table_name and x.id = c.id_a join s y on y.table_name = c.table_name and y.id = c.id_b
-where len(list_intersect(x.words, y.words)) >= 0.7 * (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words)))""",
+    "p2_found": f"with {_PAIRS} select table_name, id_a, id_b from pairs",
+    "p2_groups": f"""with recursive {_PAIRS},
+both_ways as (select table_name, id_a as a, id_b as b from pairs union all select table_name, id_b, id_a from pairs),
+reach as (select table_name, id, id as o from s where len(words) >= 12 union select r.table_name, r.id, p.b from reach r join both_ways p on p.table_name = r.table_name and p.a = r.o)
+select r.table_name, r.id, min(r.o) as class_id, count(distinct case when p.b = r.o and y.text <> x.text then y.text end) as links
+from reach r join t x on x.table_name = r.table_name and x.id = r.id join t y on y.table_name = r.table_name and y.id = r.o
+left join both_ways p on p.table_name = r.table_name and p.a = r.id and p.b = r.o group by r.table_name, r.id""",
+    "p2_copies": f"""with {_PAIRS}, same as (select table_name, text, min(id) as rep, count(*) as copies from t join s using (table_name, id) where len(words) >= 12 group by 1, 2)
+select t.table_name, t.id, rep, copies from t join same using (table_name, text) where copies > 1""",
     "p4_found": f"select word, {_MARK} as mark from {_SUMS} where {_MARK} <> ''",
     "p4_totals": f"select word, occurrences, documents, n_rows, {_MARK} as mark from {_SUMS}",
     "p7_found": """
