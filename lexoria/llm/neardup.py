@@ -42,6 +42,8 @@ COUNTED = 1 << 21
 #: Sets of one block that meet in one task at most, twice as many where two parts meet.
 PART = 8192
 TILE = 256
+#: Sets whose rows go to one task of blocks on average, and tasks at most.
+SETS_A_TASK, TASKS = 30_000, 200_000
 #: Copies of one text up to which each takes part by itself; of more, the first stands for all.
 EXPAND = 8
 #: For `expand`: copies are paired one by one however many there are.
@@ -444,9 +446,10 @@ def _candidates(texts: DataFrame, first: DataFrame, threshold: float, least: int
     """(a, b): pairs of nodes that may be alike."""
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(_word_order(first, LISTED))
+    width = max(shuffle_width(spark), min(TASKS, -(-first.where("word is null").count() // SETS_A_TASK)))
     blocks = texts.select("space", "text").mapInArrow(_emit(least, threshold, order, part), BLOCK_ROWS)
     meet = lambda rows: (
-        rows.repartition(shuffle_width(spark), "word", "part").sortWithinPartitions("word", "part", "n").mapInArrow(_compare(threshold), FOUND)
+        rows.repartition(width, "word", "part").sortWithinPartitions("word", "part", "n").mapInArrow(_compare(threshold), FOUND)
     )
     met = publish(meet(blocks), "met")
     order.destroy()
