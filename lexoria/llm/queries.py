@@ -12,7 +12,7 @@ from lexoria.llm.neardup import EVERY, copies, groups, near_duplicates
 from lexoria.llm.packing import pack
 from lexoria.llm.quality import LIMITS, common_list, flag, learn, statistics
 from lexoria.llm.spelling import LOOK_ALIKE, clean_rows
-from lexoria.llm.terms import mark_terms, term_totals
+from lexoria.llm.terms import mark_terms, marked_terms, term_totals
 from lexoria.plans.runtime import read
 
 
@@ -38,18 +38,18 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(_articles(spark, sf_dir)).withColumnRenamed("space", "table_name")
 
 
-def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_totals(read(spark, sf_dir, "corpus_word_frequency"), "word", "occurrence_count", "document_count", "id")
+#: Columns of the table of counts: the word, its counts and the row's key.
+COUNTED = ("word", "occurrence_count", "document_count", "id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are too rare or too common."""
-    return mark_terms(_totals(spark, sf_dir)).where("mark is not null").select(F.col("term").alias("word"), "mark")
+    return marked_terms(read(spark, sf_dir, "corpus_word_frequency"), *COUNTED).select(F.col("term").alias("word"), "mark")
 
 
 def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The totals of every word."""
-    return mark_terms(_totals(spark, sf_dir)).select(F.col("term").alias("word"), "occurrences", "documents", F.col("rows").alias("n_rows"), F.coalesce("mark", F.lit("")).alias("mark"))
+    return mark_terms(term_totals(read(spark, sf_dir, "corpus_word_frequency"), *COUNTED)).select(F.col("term").alias("word"), "occurrences", "documents", F.col("rows").alias("n_rows"), F.coalesce("mark", F.lit("")).alias("mark"))
 
 
 SPELLED = (("corpus_word_frequency", "id", "word"), ("form_lemma", "form_id", "form"), ("definitions", "def_id", "word"))

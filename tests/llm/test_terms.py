@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from lexoria.llm import terms
-from lexoria.llm.terms import mark_terms, term_totals
+from lexoria.llm.terms import PLACES, _sum, dictionary, mark_terms, marked_terms, term_sums, term_totals
 
 SCHEMA = "id long, word string, o long, d long, range string, term string"
 
@@ -50,3 +54,38 @@ def test_marks_and_limits(spark):
     got = {x.term: x.mark for x in mark_terms(term_totals(df, "word", "o", "d", "id")).collect()}
     assert got == {"a": None, "b": "rare", "c": "rare", "d": "common", "e": None}
     assert term_totals(df.where("id > 9"), "word", "o", "d", "id").count() == 0
+
+
+@pytest.mark.parametrize("range_terms", [1 << 16, 3])
+def test_dictionary_comes_first_and_is_dense_in_each_range(spark, range_terms):
+    rows = rows_of(900, 8)
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = {x.term: x.term_id for x in dictionary(df.select("word"), "word", range_terms).collect()}
+    assert set(known) == set(brute(rows)) and len(set(known.values())) == len(known)
+    ranges = {}
+    for w, i in known.items():
+        ranges.setdefault(i >> PLACES, []).append((i & ((1 << PLACES) - 1), w))
+    for places in ranges.values():
+        assert [p for p, _ in sorted(places)] == list(range(len(places)))
+        assert [w for _, w in sorted(places)] == sorted((w for _, w in places), key=str.encode)
+
+
+def test_sums_are_arrays_by_identifier(spark):
+    rows = rows_of(900, 9)
+    known, sums = term_sums(spark.createDataFrame(rows, SCHEMA), "word", "o", "d", "id")
+    assert sums.columns == ["term_id", *terms.COUNTS]  # no strings until the end
+    term = {x.term_id: x.term for x in known.collect()}
+    assert {term[x.term_id]: (x.occurrences, x.documents, x.rows) for x in sums.collect()} == brute(rows)
+
+
+def test_places_of_a_range_go_on_in_later_batches():
+    batch = lambda ids, o: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(o), pa.array(o), pa.array(np.ones(len(o), np.int64))], names=["term_id", *terms.COUNTS])
+    a, b = 5 << PLACES, 9 << PLACES
+    got = pa.Table.from_batches(_sum([batch([a | 2, a, a | 2], [1, 2, 3]), batch([], np.zeros(0, np.int64)), batch([a | 2, b | 1], [10, 20])])).to_pydict()
+    assert got["term_id"] == [a, a | 2, b | 1] and got["occurrences"] == [2, 14, 20] and got["rows"] == [1, 3, 1]
+
+
+def test_marked_terms_are_those_marked(spark):
+    df = spark.createDataFrame(rows_of(700, 10), SCHEMA)
+    want = {(x.term, x.mark) for x in mark_terms(term_totals(df, "word", "o", "d", "id"), 10**6, 50_000).collect() if x.mark}
+    assert {(x.term, x.mark) for x in marked_terms(df, "word", "o", "d", "id", rare_occurrences=10**6, rare_documents=50_000).collect()} == want != set()
