@@ -2,7 +2,9 @@
 
 Statistics are native expressions over whole texts. The rules are learned: labelled documents teach,
 for each statistic, an ordered list of rules by incremental reduced-error pruning; the learned
-thresholds become SQL CASE expressions that Spark applies to all documents itself.
+thresholds become SQL CASE expressions, which Spark applies to all documents itself and which alone
+decide. The stated ranges serve to label the sample and for nothing else, so documents whose value
+lies between a learned cut and the stated limit are told wrongly; `agreement` measures how many.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents from which rules are learned, at most about so many.
-LABELLED = 4_000
+#: Labelled documents from which rules are learned, at most about so many, chosen by a hash of the id.
+LABELLED = 10_000
 #: Words of the list of common words at most; it is part of the plan.
 MOST_COMMON = 10_000
 # Limits of each statistic, (lowest, highest) in range.
@@ -106,11 +108,16 @@ def _covers(rule: Rule, data: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _between(taken: float, left: float) -> float:
+    """A cut that takes the first value and not the second."""
+    mid = (float(taken) + float(left)) / 2
+    return mid if mid != taken else float(left)
+
+
 def _grow(data: dict[str, np.ndarray], y: np.ndarray) -> Rule:
     """Add the test of the greatest information gain until no negative is covered.
 
-    A cut is put at the negative value nearest to the positives it takes, which is the most that
-    the sample allows: no value between the last positive and the first negative is left out.
+    A cut is put half way between the last value that it takes and the first that it doesn't.
     """
     n, rule, inside = len(y), (), np.ones(len(y), bool)
     while (inside & ~y).any():
@@ -133,7 +140,7 @@ def _grow(data: dict[str, np.ndarray], y: np.ndarray) -> Rule:
                 g = pos * (np.log2(pos / (pos + neg)) - np.log2(p0 / (p0 + n0)))
                 k = int(np.argmax(g))
                 if g[k] > gain + 1e-12:
-                    best, gain = Test(stat, way, float(sign * s[first[k]])), float(g[k])
+                    best, gain = Test(stat, way, _between(sign * s[first[k] - 1], sign * s[first[k]])), float(g[k])
         if best is None:
             break
         rule += (best,)
@@ -182,22 +189,20 @@ def induce(data: dict[str, np.ndarray], y: np.ndarray, seed: int = 0, most_rules
     return rules
 
 
-def widen(rules: list[Rule], data: dict[str, np.ndarray], y: np.ndarray) -> list[Rule]:
-    """Move the cut of each rule of one test outwards to the negative value next to the positives, so
-    that a value between the two, which the sample says nothing about, is covered."""
+def settle(rules: list[Rule], data: dict[str, np.ndarray], y: np.ndarray) -> list[Rule]:
+    """Rules were grown on two thirds of what was left: put the cut of each rule of one test half way
+    between the last labelled document that it should take and the first beyond that it shouldn't."""
     out = []
     for rule in rules:
         if len(rule) == 1:
             t = rule[0]
-            v = data[t.stat]
-            neg = v[~y & ~np.isnan(v)]
-            hit = v[y & t.of(data)]
-            if t.way == "<" and len(hit):
-                beyond = neg[neg > hit.max()]
-                rule = (Test(t.stat, "<", float(beyond.min())),) if len(beyond) else rule
-            elif len(hit):
-                beyond = neg[neg < hit.min()]
-                rule = (Test(t.stat, ">", float(beyond.max())),) if len(beyond) else rule
+            v, sign = data[t.stat], 1.0 if t.way == "<" else -1.0
+            hit, no = sign * v[y & t.of(data)], sign * v[~y & ~np.isnan(v)]
+            beyond = no[no > hit.max()] if len(hit) else no[:0]
+            if len(beyond):
+                near = sign * v[y & ~np.isnan(v)]
+                near = near[near < beyond.min()]  # those between the old cut and the first that isn't to be taken
+                rule = (Test(t.stat, t.way, _between(sign * max(hit.max(), near.max()), sign * beyond.min())),)
         out.append(rule)
     return out
 
@@ -210,50 +215,58 @@ def to_case(rules: list[Rule], yes: str) -> str:
     return f"CASE {arms} END"
 
 
-def outside(stat: str) -> Column:
-    """Whether the statistic is out of its stated range; null counts as within."""
+def label(values: np.ndarray, stat: str) -> np.ndarray:
+    """Which values are out of the statistic's stated range; nan is within."""
     low, high = LIMITS[stat]
-    c, out = F.col(stat), F.lit(False)
-    if low is not None:
-        out = out | (c < F.lit(float(low)))
-    if high is not None:
-        out = out | (c > F.lit(float(high)))
-    return F.coalesce(out, F.lit(False))
+    out = np.zeros(len(values), bool)
+    with np.errstate(invalid="ignore"):
+        if low is not None:
+            out |= values < low
+        if high is not None:
+            out |= values > high
+    return out
+
+
+def _sampled(n: int, labelled: int) -> Column:
+    """Whether a document is one of the about `labelled` ones of `n`."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // labelled))) == 0
 
 
 def learn(stats: DataFrame, labelled: int = LABELLED, n_rows: int | None = None) -> dict[str, list[Rule]]:
     """A rule list for each statistic from about `labelled` documents, chosen by hash and labelled by
-    the stated ranges.
-
-    A side of a range on which the sample has no case teaches nothing; its rule is the stated limit
-    itself, so that every way of being out of range has a rule.
-    """
+    the stated ranges. Without a labelled document out of range a statistic has no rules."""
     n = stats.count() if n_rows is None else n_rows
-    every = max(1, n // labelled)
-    rows = stats.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * labelled).collect()
+    rows = stats.where(_sampled(n, labelled)).orderBy(F.xxhash64("doc_id", F.lit(1))).limit(2 * labelled).collect()
+    data = {s: np.array([np.nan if r[s] is None else r[s] for r in rows], float) for s in LIMITS}
     out = {}
-    for stat, (low, high) in LIMITS.items():
-        v = np.array([np.nan if r[stat] is None else r[stat] for r in rows], float)
-        data = {s: np.array([np.nan if r[s] is None else r[s] for r in rows], float) for s in LIMITS}
-        with np.errstate(invalid="ignore"):
-            below = v < low if low is not None else np.zeros(len(v), bool)
-            above = v > high if high is not None else np.zeros(len(v), bool)
-        rules = widen(induce(data, below | above), data, below | above) if len(rows) else []
-        single = {r[0].way: r[0].cut for r in rules if len(r) == 1 and r[0].stat == stat}
-        if low is not None and single.get("<", -np.inf) < low:
-            rules.append((Test(stat, "<", float(low)),))
-        if high is not None and single.get(">", np.inf) > high:
-            rules.append((Test(stat, ">", float(high)),))
-        out[stat] = rules
+    for stat in LIMITS:
+        y = label(data[stat], stat)
+        out[stat] = settle(induce(data, y), data, y) if y.any() else []
     return out
 
 
 def flag(stats: DataFrame, rules: dict[str, list[Rule]]) -> DataFrame:
-    """(doc_id, stat): documents that the learned CASE expressions take, checked against the ranges."""
-    flags = F.array(*[F.when(F.expr(to_case(r, s)).isNotNull() & outside(s), F.lit(s)) for s, r in rules.items()])
+    """(doc_id, stat): documents that the learned CASE expressions take."""
+    flags = F.array(*[F.expr(to_case(r, s)) for s, r in rules.items()])
     return stats.select("doc_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("stat"))
 
 
+def agreement(stats: DataFrame, rules: dict[str, list[Rule]], labelled: int = LABELLED, n_rows: int | None = None) -> DataFrame:
+    """(stat, cases, flagged, both): over the documents that `learn` didn't see, how many are out of the
+    stated range, how many the rules take, and how many are both; recall is both / cases, precision
+    both / flagged."""
+    n = stats.count() if n_rows is None else n_rows
+    unseen, parts = stats.where(~_sampled(n, labelled)), []
+    for stat, (low, high) in LIMITS.items():
+        c = F.col(stat)
+        case = F.coalesce((c < F.lit(float("-inf") if low is None else float(low))) | (c > F.lit(float("inf") if high is None else float(high))), F.lit(False))
+        parts.append(F.struct(F.lit(stat).alias("stat"), case.alias("is_case"), F.expr(to_case(rules[stat], stat)).isNotNull().alias("taken")))
+    one = unseen.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    return one.groupBy("stat").agg(
+        F.count_if("is_case").alias("cases"), F.count_if("taken").alias("flagged"), F.count_if(F.col("is_case") & F.col("taken")).alias("both")
+    )
+
+
 def describe(rules: dict[str, list[Rule]]) -> str:
     """The learned thresholds as text."""
     return "\n".join(f"{s}: " + " | ".join(re.sub(r"CAST\((.*?) AS DOUBLE\)", r"\1", t.sql()) for r in rs for t in r) for s, rs in rules.items())

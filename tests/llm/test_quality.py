@@ -1,10 +1,11 @@
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
-from lexoria.llm.quality import LIMITS, LINE_ENDS, Test as Cut, describe, flag, induce, learn, statistics, to_case
+from lexoria.llm.quality import LIMITS, LINE_ENDS, Test as Cut, agreement, describe, flag, induce, label, learn, statistics, to_case
 
 COMMON = ["și", "de", "la", "o", "A"]
 
@@ -38,19 +39,40 @@ def test_statistics_against_brute_force(spark):
         assert {c: x[c] for c in LIMITS} == pytest.approx(brute(ts[x.doc_id]))
 
 
-@pytest.mark.parametrize("labelled", [4000, 25])
-def test_flags_are_whole_whatever_was_learned(spark, labelled):
-    ts = texts(400, labelled)
+def test_the_learned_rules_alone_decide(spark):
+    """With every document labelled the rules are right for all; other rules give other rows."""
+    ts = texts(400, 2)
     stats = statistics(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string"), COMMON)
-    rules = learn(stats, labelled)
-    want = set()
-    for i, t in enumerate(ts):
-        for c, v in brute(t).items():
-            low, high = LIMITS[c]
-            if v is not None and (low is not None and v < low or high is not None and v > high):
-                want.add((i, c))
+    want = {(i, c) for i, t in enumerate(ts) for c, v in brute(t).items() if v is not None and label(np.array([v]), c)[0]}
+    rules = learn(stats)
     assert {(x.doc_id, x.stat) for x in flag(stats, rules).collect()} == want
     assert "words: `words` <" in describe(rules)
+    moved = rules | {"words": [(Cut("words", "<", 6.0),)], "common": []}
+    got = {(x.doc_id, x.stat) for x in flag(stats, moved).collect()}
+    assert got == {(i, c) for i, c in want if c not in ("words", "common")} | {(i, "words") for i, t in enumerate(ts) if t is not None and brute(t)["words"] < 6}
+
+
+def test_documents_outside_the_sample(spark):
+    """Recall and precision where the rules haven't been taught."""
+    ts = texts(4000, 3)
+    stats = statistics(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string"), COMMON).cache()
+    rules = learn(stats, 1000)
+    got = agreement(stats, rules, 1000).collect()
+    assert {x.stat for x in got} == set(LIMITS)
+    for x in got:
+        assert x.cases > 20 and x.both >= 0.98 * x.cases and x.both >= 0.98 * x.flagged, x
+    stats.unpersist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_documents_of_the_tables_outside_the_sample(spark):
+    from lexoria.llm.queries import _statistics
+
+    stats = _statistics(spark, "/root/testdata/sf0.1").cache()
+    got = agreement(stats, learn(stats, 2000), 2000).collect()
+    cases, flagged, both = (sum(x[k] for x in got) for k in ("cases", "flagged", "both"))
+    assert both >= 0.99 * cases and both >= 0.99 * flagged and sum(x.cases for x in got) > 1000
+    stats.unpersist()
 
 
 def test_rules_reach_held_out_accuracy():
