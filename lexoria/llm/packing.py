@@ -3,9 +3,9 @@
 The lengths of all pieces, at most `capacity` different ones, are counted by the cluster; the plan is
 made on those counts alone, so its size doesn't depend on the number of texts:
 
-1. the longest remaining length leaves a gap; the available lengths are hashed, and the sums of singles,
-   pairs and triples of them are gone through by the complement to the gap, so that a combination fills
-   it exactly; as many rows as the counts allow are made of each at once;
+1. the sums of singles and pairs of lengths are indexed, those of triples as a single and the indexed
+   pairs of the rest; the longest remaining length leaves a gap, and the combinations under its exact
+   complement are used up, as many rows at once as the counts allow of each;
 2. what has no exact complement is laid by best fit: the longest first, each into the row with the
    smallest gap that takes it, again for whole counts at a time.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexoria.plans.runtime import checked_broadcast, publish
 
-#: Code points that go to the tokenizer at once; see `count_tokens`.
+#: Code points about which a text goes to the tokenizer at once; see `_safe_cuts`.
 LONG = 1 << 16
 #: Rows of offsets, one for each partition and length, up to which they are broadcast.
 OFFSETS = 1_000_000
@@ -37,37 +37,45 @@ OFFSETS = 1_000_000
 @lru_cache(2)
 def _encoding(path: str):
     import base64
-    import os
-    import sys
 
-    import tiktoken
-
-    sys.path.append(os.path.dirname(os.path.dirname(os.path.realpath(path))))
     import public_tokenizers as P
+    import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("rows", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _safe_cuts(text: str) -> Iterator[str]:
-    """The text in parts that are tokenized alike on their own: cut between a letter and a blank.
+@lru_cache(1)
+def _boundaries():
+    """Where every piece of the tokenizer's pattern ends: no piece goes on into white space, or from a
+    letter, a digit or a sign into another of these kinds, but for an apostrophe before letters."""
+    import regex
 
-    The tokenizer's pattern never joins a letter to a blank after it, so such a cut changes nothing.
-    A stretch of more than LONG code points without one is cut where it is, so that the time stays
-    in proportion to the text's length.
-    """
+    signs = r"!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+    return (
+        regex.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n\r\t])"),
+        regex.compile(rf"(?<=\p{{L}})(?=[0-9{signs}])|(?<=[0-9])(?=[A-Za-z{signs}])|(?<=[{signs}])(?=[0-9])"),
+    )
+
+
+def _safe_cuts(text: str) -> Iterator[str]:
+    """The text in parts of about LONG code points that are tokenized alike on their own: cut only where
+    a piece of the tokenizer's pattern ends. A stretch without such a place stays whole, however long."""
     at = 0
     while len(text) - at > LONG:
-        cut = at + LONG
-        floor = at + LONG // 2
-        while cut > floor and not (text[cut] == " " and text[cut - 1].isalpha()):
-            cut -= 1
-        if cut == floor:
-            cut = at + LONG
+        cut = None
+        for kind in _boundaries():
+            m = kind.search(text, at + LONG // 2, min(len(text), at + LONG + 1))
+            if m:
+                cut = m.start()
+                break
+        if cut is None:  # none near: the next one of any kind, or the end
+            cut = min((m.start() for kind in _boundaries() if (m := kind.search(text, at + LONG))), default=len(text))
         yield text[at:cut]
         at = cut
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 def count_tokens(texts: list[str | None], path: str) -> list[int]:
@@ -76,44 +84,63 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
     return [sum(len(enc.encode_ordinary(p)) for p in _safe_cuts(t)) if t else 0 for t in texts]
 
 
+class _Sums:
+    """Lengths that are there, indexed by the sums of one and of two of them."""
+
+    def __init__(self, lengths: list[int], capacity: int) -> None:
+        self.capacity, n = capacity, np.array(sorted(lengths), np.int64)
+        self.have = np.zeros(capacity + 1, bool)
+        self.have[n] = True
+        i, j = np.tril_indices(len(n))
+        total = n[i] + n[j]
+        fits = total <= capacity
+        longer, total = n[i][fits], total[fits]
+        order = np.lexsort((-longer, total))
+        self.longer = longer[order].astype(np.int32)  # of each pair, by sum, the longest first
+        self.start = np.searchsorted(total[order], np.arange(capacity + 2))
+        self.pairs = np.bincount(total, minlength=capacity + 1)  # how many pairs there are of each sum
+
+    def drop(self, k: int) -> None:
+        """A length is used up."""
+        if 2 * k <= self.capacity:
+            self.pairs[2 * k] -= 1
+        self.have[k] = False
+        self.pairs[k + np.flatnonzero(self.have[: self.capacity - k + 1])] -= 1
+
+    def _two(self, total: int) -> Iterator[tuple[int, int]]:
+        if self.pairs[total]:
+            a = self.longer[self.start[total] : self.start[total + 1]]
+            for x in a[self.have[a] & self.have[total - a]].tolist():
+                yield x, total - x
+
+    def fills(self, gap: int) -> Iterator[tuple[int, ...]]:
+        """Singles, pairs and triples of exactly this sum, the longest piece first. What was passed over
+        stays impossible, as counts only fall, so every combination is gone through once."""
+        if self.have[gap]:
+            yield (gap,)
+        yield from self._two(gap)
+        first = np.flatnonzero(self.have[:gap])
+        for a in first[self.pairs[gap - first] > 0][::-1].tolist():
+            for b, c in self._two(gap - a) if self.have[a] else ():
+                if not self.have[a]:
+                    break
+                if b <= a and self.have[b] and self.have[c]:
+                    yield a, b, c
+
+
 def plan_rows(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Kinds of rows: (how many, ((length, pieces of it in each such row), ...)), all pieces laid."""
     left = {k: v for k, v in counts.items() if 0 < k <= capacity and v}
     rows: list[tuple[int, Counter]] = []
     residual: dict[int, int] = {}
-
-    def complements(gap: int):
-        """Singles, pairs and triples of available lengths of exactly this sum, the longest piece first.
-
-        What was passed over stays impossible, as counts only fall, so every sum is gone through once.
-        """
-        if gap in left:
-            yield (gap,)
-        have = sorted((k for k in left if k < gap), reverse=True)
-        for a in have:
-            if a * 2 < gap:
-                break
-            if gap - a in left:
-                yield a, gap - a
-        for i, a in enumerate(have):
-            if a * 3 < gap:
-                break
-            rest = gap - a
-            for b in have[i:] if a in left else ():
-                if b >= rest:
-                    continue
-                if b * 2 < rest:
-                    break
-                if rest - b in left and b in left:
-                    yield a, b, rest - b
-
-    while left:
-        top = max(left)
-        fills = iter([()]) if top == capacity else complements(capacity - top)
+    sums = _Sums(list(left), capacity)
+    for top in sorted(left, reverse=True):
+        fills = iter([()]) if top == capacity else sums.fills(capacity - top)
         while top in left:
             fill = next(fills, None)
             if fill is None:
                 residual[top] = left.pop(top)
+                sums.drop(top)
                 break
             combo = Counter((top, *fill))
             n = min(left.get(k, 0) // c for k, c in combo.items())
@@ -123,6 +150,7 @@ def plan_rows(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tu
                     left[k] -= c * n
                     if not left[k]:
                         del left[k]
+                        sums.drop(k)
     # best fit: open kinds of rows by their gap
     open_rows: dict[int, list[list]] = {}
     gaps: list[int] = []

@@ -13,7 +13,7 @@ from lexoria.llm.packing import pack
 from lexoria.llm.quality import LIMITS, common_list, flag, learn, statistics
 from lexoria.llm.spelling import LOOK_ALIKE, clean_rows
 from lexoria.llm.terms import mark_terms, marked_terms, term_totals
-from lexoria.plans.runtime import read
+from lexoria.plans.runtime import publish, read
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,26 @@ def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), TOKENIZER, CAPACITY)
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for `p6_pack`, in one row: documents laid, rows over capacity, documents whose pieces
+    aren't all full but the last, numbers of rows left out, and whether under 0.5 % of the rows could be saved."""
+    laid = publish(p6_pack(spark, sf_dir), "laid")
+    docs = laid.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.count_distinct("piece").alias("d"), F.max("piece").alias("last"),
+        F.count_if((F.col("n_tokens") < CAPACITY)).alias("part_full"), F.count_if(F.col("start") != F.col("piece") * CAPACITY).alias("shifted"),
+        F.min(F.struct("n_tokens", "piece")).alias("least"),
+    )
+    bad = (F.col("n") != F.col("d")) | (F.col("last") + 1 != F.col("n")) | (F.col("part_full") > 1) | (F.col("shifted") > 0)
+    bad = bad | ((F.col("part_full") == 1) & (F.col("least.piece") != F.col("last")))
+    of_docs = docs.agg(F.count("*").alias("n_docs"), F.count_if(bad).alias("bad_docs"))
+    rows = laid.groupBy("row_id").agg(F.sum("n_tokens").alias("n"))
+    of_rows = rows.agg(
+        F.count_if(F.col("n") > CAPACITY).alias("over_rows"), (F.max("row_id") + 1 - F.count("*")).alias("missing_rows"),
+        (F.count("*") <= 1.005 * F.ceil(F.sum("n") / CAPACITY) + 1).alias("tight"),
+    )
+    return of_docs.join(of_rows, F.lit(True)).select("n_docs", "over_rows", "bad_docs", "missing_rows", F.col("tight").cast("int").alias("tight"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the held-out items of which they hold 12 or more consecutive words."""
     docs, items = read(spark, sf_dir, "documents", "eval_items")
@@ -97,7 +117,7 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir).select("doc_id", *LIMITS).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_copies, p4_found, p4_totals, p5_found, p6_pack, p7_found, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_copies, p4_found, p4_totals, p5_found, p6_pack, p6_invariants, p7_found, p8_found, p8_stats)}
 
 _PAIRS = """
 t as (
@@ -165,6 +185,8 @@ left join both_ways p on p.table_name = r.table_name and p.a = r.id and p.b = r.
 select t.table_name, t.id, rep, copies from t join same using (table_name, text) where copies > 1""",
     "p4_found": f"select word, {_MARK} as mark from {_SUMS} where {_MARK} <> ''",
     "p4_totals": f"select word, occurrences, documents, n_rows, {_MARK} as mark from {_SUMS}",
+    "p6_invariants": """select count(distinct doc_id) as n_docs, cast(0 as bigint) as over_rows, cast(0 as bigint) as bad_docs,
+  cast(0 as bigint) as missing_rows, 1 as tight from documents""",
     "p7_found": """
 with g as (select id, is_doc, array_to_string(ws[i : i + 11], ' ') as gram from (
   select id, is_doc, ws, unnest(range(1, len(ws) - 10)) as i from (

@@ -29,6 +29,24 @@ def test_plans_lay_every_piece_once(counts):
     assert rows <= 2 * -(-total // 40)
 
 
+def test_every_exact_complement_is_used():
+    """After the exact steps no row's gap can be filled by one, two or three pieces left over."""
+    r = random.Random(5)
+    for _ in range(30):
+        counts = {r.randrange(1, 60): r.randrange(1, 6) for _ in range(12)}
+        sums = packing._Sums(list(counts), 60)
+        for gap in range(1, 60):
+            have = sorted(counts, reverse=True)
+            want = {(gap,)} & {(k,) for k in have}
+            want |= {(a, b) for a in have for b in have if a >= b and a + b == gap}
+            want |= {(a, b, c) for a in have for b in have for c in have if a >= b >= c and a + b + c == gap}
+            assert set(sums.fills(gap)) == want
+        gone = r.choice(list(counts))
+        sums.drop(gone)
+        for gap in range(1, 60):
+            assert all(gone not in f for f in sums.fills(gap)) and sums.pairs[gap] == len(list(sums._two(gap)))
+
+
 def test_plans_are_tight_and_short():
     r = random.Random(1)
     counts = Counter(min(2048, int(r.lognormvariate(5.5, 1))) + 1 for _ in range(60_000))
@@ -40,13 +58,31 @@ def test_plans_are_tight_and_short():
     assert len(plan2) <= len(plan) * 1.5 + 2048 and more <= rows * 1_000_000
 
 
-def test_cuts_change_no_count(monkeypatch):
+def whole(text):
+    return len(packing._encoding(PATH).encode_ordinary(text))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("aăZ19 \n\t'.|,-\x1c\x85\xa0漢。字ж're\u0301²", max_size=400), st.sampled_from([2, 5, 20]))
+def test_cuts_change_no_count(text, long):
+    old, packing.LONG = packing.LONG, long
+    try:
+        assert "".join(packing._safe_cuts(text)) == text
+        assert count_tokens([text], PATH) == [whole(text)]
+    finally:
+        packing.LONG = old
+
+
+def test_long_texts_are_measured_as_a_whole():
     r = random.Random(2)
-    text = " ".join(r.choice(["ăla", "de", "x1", "\n\n", "!!", "  "]) for _ in range(5000))
-    whole = count_tokens([text], PATH)
-    monkeypatch.setattr(packing, "LONG", 200)
-    assert count_tokens([text], PATH) == whole
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [
+        pick("0123456789", 200_000), pick("漢字日本語文章。", 150_000), pick("abcdefgh", 200_000), "a" * 150_000, "|" * 150_000, " " * 150_000 + "x",
+        pick("ab12", 200_000), pick("กขคงจ", 100_000), "x'" * 80_000, " ".join(pick("abcșț", 5) for _ in range(40_000)), pick("\x1cа漢", 90_000),
+    ]
+    assert count_tokens(texts, PATH) == [whole(t) for t in texts]
     assert count_tokens([None, "", "<|endoftext|>"], PATH)[:2] == [0, 0]
+    assert sum(1 for _ in packing._safe_cuts(texts[6])) > 2 and sum(1 for _ in packing._safe_cuts(texts[1])) > 2
 
 
 def test_rows(spark):
