@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexoria.plans.runtime import checked_broadcast, publish
+from lexoria.plans.runtime import broadcast_within, publish
 
 #: Code points about which a text goes to the tokenizer at once; see `_safe_cuts`.
 LONG = 1 << 16
-#: Rows of offsets, one for each partition and length, up to which they are broadcast.
-OFFSETS = 1_000_000
+#: Bytes of offsets, one row for each partition and length, up to which they are broadcast.
+OFFSET_BYTES = 32 << 20
 
 
 @lru_cache(2)
@@ -267,6 +267,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
             start = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * capacity
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), b.column(2), pa.array(row)], names=["doc_id", "piece", "start", "n_tokens", "row_id"])
 
-    ranked = pieces.join(checked_broadcast(offsets, OFFSETS), ["part", "n_tokens"])
+    ranked = pieces.join(broadcast_within(publish(offsets, "offsets"), OFFSET_BYTES), ["part", "n_tokens"])
     ranked = ranked.select("doc_id", "piece", "n_tokens", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, n_tokens int, row_id long")

@@ -11,7 +11,7 @@ from lexoria.llm.leaks import find_leaks
 from lexoria.llm.neardup import EVERY, copies, groups, near_duplicates
 from lexoria.llm.packing import pack
 from lexoria.llm.quality import LIMITS, common_list, flag, learn, statistics
-from lexoria.llm.spelling import LOOK_ALIKE, clean_rows
+from lexoria.llm.spelling import clean_rows
 from lexoria.llm.terms import mark_terms, marked_terms, term_totals
 from lexoria.plans.runtime import publish, read
 
@@ -153,11 +153,13 @@ s as (select doc_id, cast(len(w) as double) as words,
 """
 
 def _clean_sql() -> str:
-    """The consistent spelling in SQL, for the characters that occur in the tables."""
+    """The consistent spelling in SQL. Its look-alikes are written out here, apart from those of the operator."""
     wide = "".join(chr(k) for k in range(0xFF01, 0xFF5F))
     plain = "".join(chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F))
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    like, latin = "".join(LOOK_ALIKE), "".join(LOOK_ALIKE.values())
+    # Cyrillic, Greek and other letters that look Latin, and those Latin letters below them
+    like = "асеһіјӏорԛѕѵԝхуԁАВСЕНІЈКМОРԚЅТѴԜХУӀαινορυϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿɑɡı"
+    latin = "acehijlopqsvwxydABCEHIJKMOPQSTVWXYIaivopucjABEZHIKMNOPTYXCJagi"
     other = "".join(c for c in map(chr, range(0x400, 0x460)) if c not in like)
     return rf"""
 with r as (select 'corpus_word_frequency' as table_name, id as row_id, word as s from corpus_word_frequency where word is not null
