@@ -1,8 +1,9 @@
-"""Text functions on columns. All are native expressions but `normalize`'s rare fallback."""
+"""Text functions on columns. All are native expressions but the rounding of large counts and sizes."""
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,19 +20,88 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(StringType())
-def _nfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+@lru_cache(1)
+def _compositions() -> tuple[str, str, str, str]:
+    """From Python's Unicode data, as texts to look things up in: '|' base mark composed, for every letter
+    that is composed of two; '|' composed base mark; '|' mark and its combining class in three digits; and
+    the marks as ranges of a pattern's class."""
+    pairs, parts, classes, marks = [], [], [], []
+    for cp in range(0xA0, 0x20000):
+        ch = chr(cp)
+        if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xDFFF:
+            continue
+        if k := unicodedata.combining(ch):
+            classes.append(f"|{ch}{k:03d}")
+            marks.append(cp)
+        two = unicodedata.decomposition(ch).split()
+        if len(two) == 2 and not two[0].startswith("<") and unicodedata.normalize("NFC", ch) == ch:
+            pair = "".join(chr(int(x, 16)) for x in two)
+            pairs.append(f"|{pair}{ch}")
+            parts.append(f"|{ch}{pair}")
+    ranges, at = "", 0
+    while at < len(marks):
+        to = at
+        while to + 1 < len(marks) and marks[to + 1] == marks[to] + 1:
+            to += 1
+        ranges += rf"\x{{{marks[at]:X}}}-\x{{{marks[to]:X}}}"
+        at = to + 1
+    return "".join(pairs), "".join(parts), "".join(classes), ranges
+
+
+def compose(c: Column | str) -> Column:
+    """Letters and combining marks put together (NFC), natively: marks are sorted by class and then looked
+    up one by one with the letter so far; one that stays keeps later ones of its class from the letter.
+    For text of letters and marks; syllables typed in single Hangul letters stay as they are."""
+    pairs, parts, classes, marks = _compositions()
+    x = _col(c)
+    # 1-based places in the texts, which are constants
+    at = lambda key, table: F.call_function("locate", F.concat(F.lit("|"), key), F.lit(table))
+    kind = lambda m: F.substr(F.lit(classes), at(m, classes) + 2, F.lit(3)).cast("int")
+
+    def cluster(g: Column) -> Column:
+        # taken apart: a letter may be composed of up to four
+        bare = g.rlike(f"^[{marks}]")
+        pair = F.array(F.struct(F.when(bare, "").otherwise(F.substr(g, F.lit(1), F.lit(1))).alias("b"), F.when(bare, g).otherwise(F.substr(g, F.lit(2))).alias("r")))
+
+        def apart(p: Column) -> Column:
+            where = F.when(p["b"] == "", 0).otherwise(at(p["b"], parts))
+            return F.struct(
+                F.when(where > 0, F.substr(F.lit(parts), where + 2, F.lit(1))).otherwise(p["b"]).alias("b"),
+                F.when(where > 0, F.concat(F.substr(F.lit(parts), where + 3, F.lit(1)), p["r"])).otherwise(p["r"]).alias("r"),
+            )
+
+        for _ in range(3):
+            pair = F.transform(pair, apart)
+        return F.array_join(F.transform(pair, lambda p: put_together(p["b"], F.filter(F.split(p["r"], ""), lambda m: m != ""))), "")
+
+    def put_together(base: Column, rest: Column) -> Column:
+        ranked = F.array_sort(F.transform(rest, lambda m, i: F.struct(kind(m).alias("k"), i.alias("i"), m.alias("m"))))
+        zero = F.struct(base.alias("base"), F.lit("").alias("rest"), F.lit(0).alias("kept"))
+
+        def step(acc: Column, m: Column) -> Column:
+            key = F.concat(acc["base"], m["m"])
+            where = at(key, pairs)
+            joins = (where > 0) & (acc["kept"] < m["k"])
+            return F.struct(
+                F.when(joins, F.substr(F.lit(pairs), where + 3, F.lit(1))).otherwise(acc["base"]).alias("base"),
+                F.when(joins, acc["rest"]).otherwise(F.concat(acc["rest"], m["m"])).alias("rest"),
+                F.when(joins, acc["kept"]).otherwise(m["k"]).alias("kept"),
+            )
+
+        return F.aggregate(ranked, zero, step, lambda acc: F.concat(acc["base"], acc["rest"]))
+
+    groups = F.regexp_extract_all(x, F.lit(rf"(?s)[^{marks}][{marks}]+|[^{marks}]+(?![{marks}])|[{marks}]+"), F.lit(0))
+    done = F.transform(groups, lambda g: F.when(g.rlike(f"[{marks}]"), cluster(g)).otherwise(g))
+    return F.when(x.rlike(f"[{marks}]"), F.array_join(done, "")).otherwise(x)
 
 
 def normalize(c: Column | str) -> Column:
-    """Lower case, cedilla letters to comma letters, then composed; null stays null.
+    """Lower case, cedilla letters to comma letters, then composed; null stays null. Native throughout.
 
-    Only text with combining marks goes through Python; a cedilla typed as a mark of its own comes
-    out as a composed cedilla letter, as it is put together after the letters were replaced.
+    A cedilla typed as a mark of its own comes out as a composed cedilla letter, as it is put together
+    after the letters were replaced.
     """
-    x = F.translate(F.lower(_col(c)), "şţ", "șț")
-    return F.when(x.rlike(r"\p{M}"), _nfc(x)).otherwise(x)
+    return compose(F.translate(F.lower(_col(c)), "şţ", "șț"))
 
 
 def normalize_plain(c: Column | str) -> Column:

@@ -19,12 +19,17 @@ from pyspark.sql import types as T
 
 from lexoria.plans.runtime import publish, shuffle_width
 
-#: Upper limit for the rows of one bucket's input; more rows make more buckets.
-ROWS_PER_BUCKET = 2_000_000
+#: Upper limits for one bucket's input, which its state can't exceed; more make more buckets.
+ROWS_PER_BUCKET, BYTES_PER_BUCKET = 2_000_000, 128 << 20
+#: Memory of one bucket's database, which never spills to a machine's disk.
+MEMORY_MB = 512
+#: Bytes of state that an input partition holds before it hands its rows on.
+LOCAL_BYTES = 128 << 20
 
 
-def _upserter(cols: list[str], keys: list[str], order: list[tuple[str, str]]):
-    """The function of one bucket. `order`: (column, 'asc' or 'desc'), the first row is in force."""
+def _upserter(cols: list[str], keys: list[str], order: list[tuple[str, str]], most: float = float("inf")):
+    """The function of one bucket. `order`: (column, 'asc' or 'desc'), the first row is in force. After
+    `most` bytes of input the state is handed on and begun anew."""
     q = lambda c: '"' + c.replace('"', '""') + '"'
     names = [q(c) for c in cols]
     tests, equal = [], []
@@ -42,13 +47,23 @@ def _upserter(cols: list[str], keys: list[str], order: list[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db, schema = None, None
+        db, schema, held = None, None, 0
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for out in db.sql(f"select {', '.join(names)} from state").to_arrow_reader(20_000):
+                yield out.cast(schema) if out.schema != schema else out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if held > most:  # before the shuffle: the rest starts anew, so a key may be handed on twice
+                yield from hand_on()
+                db.close()
+                db, held = None, 0
+            held += batch.nbytes
             if db is None:
                 schema = batch.schema
-                db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "preserve_insertion_order": False})
+                db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
                 db.register("feed", pa.Table.from_batches([batch]))
                 db.execute(f"create table state as select {', '.join(names)} from feed limit 0")
                 db.execute(f"create unique index state_key on state ({', '.join(map(q, keys))})")
@@ -57,13 +72,20 @@ def _upserter(cols: list[str], keys: list[str], order: list[tuple[str, str]]):
             db.execute(upsert)
             db.unregister("feed")
         if db is not None:
-            for out in db.sql(f"select {', '.join(names)} from state").to_arrow_reader(20_000):
-                yield out.cast(schema) if out.schema != schema else out
+            yield from hand_on()
             db.close()
 
     return run
 
 
+def _buckets(rows: DataFrame) -> int:
+    """As many buckets as keep each one's input within both limits."""
+    wide = [c for c, t in rows.dtypes if not t.startswith(("int", "bigint", "timestamp", "double", "date", "float", "smallint", "tinyint", "boolean"))]
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in wide), F.lit(8 * len(rows.columns)))
+    got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return max(shuffle_width(rows.sparkSession), -(-got["n"] // ROWS_PER_BUCKET), -(-got["b"] // BYTES_PER_BUCKET))
+
+
 def apply_changes(
     feed: DataFrame,
     keys: Sequence[str] = ("user_id", "word"),
@@ -103,8 +125,8 @@ def apply_changes(
     order = [(clock, "desc"), ("_lex_seq", "asc"), ("_lex_dead", "desc"), ("_lex_full", "desc"), ("_lex_tie", "asc")]
     step = _upserter(rows.columns, keys, order)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-    n = buckets or max(shuffle_width(feed.sparkSession), -(-feed.count() // ROWS_PER_BUCKET))
-    local = rows.mapInArrow(step, schema)
+    n = buckets or _buckets(rows)
+    local = rows.mapInArrow(_upserter(rows.columns, keys, order, LOCAL_BYTES), schema)
     state = local.repartition(n, *[F.col(f"`{c}`") for c in keys]).mapInArrow(step, schema)
     return publish(state.select(*[F.col(f"`{c}`") for c in kept]), "state")
 

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as X
-from lexoria.plans.runtime import checked_broadcast
+from lexoria.plans.runtime import broadcast_within
 
 
-def count_words(docs: DataFrame, unit: Column | None = None, text: str = "text", vocabulary: DataFrame | None = None, by: list[str] | None = None, most_broadcast: int = 2_000_000) -> DataFrame:
+def count_words(docs: DataFrame, unit: Column | None = None, text: str = "text", vocabulary: DataFrame | None = None, by: list[str] | None = None, most_broadcast: int = 64 << 20) -> DataFrame:
     """([by], word, occurrences, documents): tokens counted, and in how many units they are.
 
     Without a unit each row is one: a row's tokens are sorted, the first of each kind is marked, and
     one grouping by word, combined before its shuffle, counts both. With a unit (an author, a clip)
     there are two groupings, so that no set of units is ever held for a word. With a vocabulary (word)
-    only its words count; it is broadcast up to a size that is checked. Null texts count for nothing.
+    only its words count; it is broadcast up to so many bytes, which are counted first. Null texts count for nothing.
     """
     by = by or []
     if unit is None:
@@ -24,7 +24,7 @@ def count_words(docs: DataFrame, unit: Column | None = None, text: str = "text",
     else:
         toks = docs.select(*by, unit.alias("_unit"), F.explode(X.tokenize(text)).alias("word"))
     if vocabulary is not None:
-        toks = toks.join(checked_broadcast(vocabulary.select("word").distinct(), most_broadcast), "word", "left_semi")
+        toks = toks.join(broadcast_within(vocabulary.select("word").distinct(), most_broadcast), "word", "left_semi")
     if unit is None:
         return toks.groupBy(*by, "word").agg(F.count("*").alias("occurrences"), F.sum("first").alias("documents"))
     per_unit = toks.groupBy(*by, "word", "_unit").agg(F.count("*").alias("n"))

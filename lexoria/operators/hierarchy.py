@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexoria.plans.runtime import checked_broadcast, discard, publish, shuffle_width
+from lexoria.plans.runtime import broadcast_within, discard, publish, shuffle_width
 
 #: Components of more nodes than this are handled without bringing them together.
 BIG = 100_000
+#: Bytes of the names of large components up to which they are broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Bytes of paths that a traversal holds before it hands them on.
 FLUSH = 4 << 20
 
@@ -238,7 +240,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def hierarchy(nodes: DataFrame, big: int = BIG) -> DataFrame:
+def hierarchy(nodes: DataFrame, big: int = BIG, below: bool = True) -> DataFrame:
     """Every node's root, path, depth and number of descendants; the nodes that have no root.
 
     `nodes`: `space` (a table's name, say), `node`, `parent`, and optionally `scope` (a link across
@@ -248,7 +250,8 @@ def hierarchy(nodes: DataFrame, big: int = BIG) -> DataFrame:
     left out; a node that is its own parent is a cycle of one.
 
     Columns: space, node, root (0 on or under a cycle), path ('' there), depth (0 there; a root has
-    1), descendants (0 there), marks (numbers in the crumb), on_cycle, back_edge (true for the
+    1), descendants (0 there; null in components over `big` nodes unless `below`, as counting them
+    goes over all paths once more), marks (numbers in the crumb), on_cycle, back_edge (true for the
     smallest node of a cycle, whose link up closes it).
     """
     spark = nodes.sparkSession
@@ -264,7 +267,7 @@ def hierarchy(nodes: DataFrame, big: int = BIG) -> DataFrame:
     if n > big:
         huge = publish(comp.groupBy("space", "name").count().where(F.col("count") > big).select("space", "name"), "huge")
         n_huge = huge.count()
-    small = comp if not n_huge else comp.join(checked_broadcast(huge, 100_000, n_huge), ["space", "name"], "left_anti")
+    small = comp if not n_huge else comp.join(broadcast_within(huge, BROADCAST_BYTES), ["space", "name"], "left_anti")
     width = max(shuffle_width(spark), -(-n // 500_000))
     walked = (
         small.select("space", "name", "node", "par", "marks")
@@ -274,19 +277,20 @@ def hierarchy(nodes: DataFrame, big: int = BIG) -> DataFrame:
     )
     if not n_huge:
         return walked
-    large = comp.join(checked_broadcast(huge, 100_000, n_huge), ["space", "name"], "left_semi")
+    large = comp.join(broadcast_within(huge, BROADCAST_BYTES), ["space", "name"], "left_semi")
     ringed = large.join(rest.select("space", "node"), ["space", "node"], "left_semi").select(
         "space", "node", F.lit(0).cast("long").alias("root"), F.lit("").alias("path"), F.lit(0).alias("depth"),
         F.lit(0).cast("long").alias("descendants"), "marks", "on_cycle", (F.col("node") == F.col("name")).alias("back_edge"),
     )
     rooted, _ = _double(large.select("space", "node", "par", "marks").join(rest.select("space", "node"), ["space", "node"], "left_anti"), paths=True)
     rooted = publish(rooted, "paths")
-    below = (
+    counts = (
         rooted.select("space", F.explode(F.split("path", "/")).alias("node"))
         .groupBy("space", F.col("node").cast("long").alias("node"))
         .agg((F.count("*") - 1).alias("descendants"))
     )
-    rooted = rooted.join(below, ["space", "node"]).select(
+    rooted = rooted.join(counts, ["space", "node"]) if below else rooted.withColumn("descendants", F.lit(None).cast("long"))
+    rooted = rooted.select(
         "space", "node", "root", "path", F.size(F.split("path", "/")).alias("depth"), "descendants", "marks",
         F.lit(False).alias("on_cycle"), F.lit(False).alias("back_edge"),
     )

@@ -9,9 +9,11 @@ from lexoria.functions import text as X
 from lexoria.operators import corpus as C
 from lexoria.operators.keyed import distinct_in_order, first_per_key, last_per_key, lookup_two_tier, preferred_per_key
 from lexoria.operators.rank import global_rank, new_numbers, percentile_ranks
-from lexoria.plans.runtime import publish, read
+from lexoria.plans.runtime import broadcast_within, publish, read
 
 QUERIES, ORACLES = {}, {}
+#: Bytes of tags up to which they are broadcast.
+TAG_BYTES = 8 << 20
 HIST, MODERN = ["romane_vechi", "gazete_1900"], ["web_azi", "subtitrari"]
 
 
@@ -153,7 +155,7 @@ def _object_tags(spark, sf_dir):
     """Tags of senses: a stand-in for the table that links them."""
     m = read(spark, sf_dir, "meanings").where("word is not null").select("meaning_id", "word").distinct()
     t = _tags(spark, sf_dir).select(F.col("id").alias("tag_id"), "parentId", "value", "isPos")
-    return m.join(F.broadcast(t), F.lit(100) + m["meaning_id"] % 600 == t["tag_id"])  # tags are a fixed list
+    return m.join(broadcast_within(t, TAG_BYTES), F.lit(100) + m["meaning_id"] % 600 == t["tag_id"])
 
 
 FAMILY = "case when isPos = 1 then 'pos' when coalesce(parentId, 0) % 3 = 0 then 'register' when parentId % 3 = 1 then 'domain' else 'etymology' end"
@@ -425,7 +427,7 @@ def jon_03(spark, sf_dir):
     """Tags of headwords by two paths: by sense and direct."""
     d = read(spark, sf_dir, "definitions").where("word is not null").select("def_id", "word").distinct()
     by_sense = _object_tags(spark, sf_dir).join(d.select("word").distinct(), "word", "left_semi").select("word", "value")
-    direct = d.join(F.broadcast(_tags(spark, sf_dir)), F.lit(100) + F.col("def_id") % 600 == F.col("id")).select("word", "value")
+    direct = d.join(broadcast_within(_tags(spark, sf_dir), TAG_BYTES), F.lit(100) + F.col("def_id") % 600 == F.col("id")).select("word", "value")
     return by_sense.unionByName(direct).distinct()
 
 

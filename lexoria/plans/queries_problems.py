@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("marks") > 0) & (F.col("marks") != F.col("depth")), "crumb")
         .otherwise("ok")
     )
-    return hierarchy(_nodes(spark, sf_dir)).select(
+    return hierarchy(_nodes(spark, sf_dir), below=False).select(
         F.col("space").alias("table_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"),
         F.col("path").alias("node_path"), state.alias("state"),
     )
@@ -52,14 +52,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a node and a node below it, with their distance."""
-    got = descendants(publish(hierarchy(_nodes(spark, sf_dir)), "tree"))
+    got = descendants(publish(hierarchy(_nodes(spark, sf_dir), below=False), "tree"))
     return got.withColumnsRenamed({"space": "table_name", "node": "node_id", "descendant": "descendant_id"})
 
 
 def p3_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes on or under a cycle, and the link that closes each cycle."""
     return (
-        hierarchy(_nodes(spark, sf_dir)).where("root = 0")
+        hierarchy(_nodes(spark, sf_dir), below=False).where("root = 0")
         .select(F.col("space").alias("table_name"), F.col("node").alias("node_id"), "on_cycle", "back_edge")
     )
 

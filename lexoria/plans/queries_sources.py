@@ -252,7 +252,7 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lexoria-rebuilt-{spark.sparkContext.applicationId}"
     for old in (d.where("word is null"), d):
         sinks.replace_table(old, path)
-    return spark.read.schema(d.schema).parquet(path)
+    return sinks.read_table(spark, path)
 
 
 @query("select 1 as refused, count(distinct def_id) as n from definitions")

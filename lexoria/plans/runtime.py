@@ -34,12 +34,15 @@ def session(name: str = "lexoria", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the setting is absent (tests) a folder of our own."""
+    """The cluster's shared folder. Only a local session, whose executors share this machine's disk, gets a
+    folder of its own where the setting is absent, as in tests; on a cluster that is an error."""
     ship(spark)
     at = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
     if not at:
         at = getattr(spark.sparkContext, "_lexoria_dir", None)
         if not at:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError(f"set {SHARED} to a folder that all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="lexoria-")
             spark.sparkContext._lexoria_dir = at
     return at.rstrip("/")
@@ -61,8 +64,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
+def rename(spark: SparkSession, old: str, new: str, fresh: bool = False) -> None:
+    """Rename; with `fresh` fail if `new` is there already, instead of moving into it."""
     fs, p = _fs(spark, old)
+    if fresh and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise FileExistsError(new)
     if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(new)):
         raise OSError(f"cannot publish {new}")
 
@@ -95,12 +101,6 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, root)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int, count: int | None = None) -> DataFrame:
-    """Hint a broadcast only if `df` has at most `max_rows` rows; beyond it the join shuffles."""
-    n = df.limit(max_rows + 1).count() if count is None else count
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """Bytes of the rows of `df` as they lie in memory, counted; nested values by their text."""
     wide = {"string": "octet_length({})", "binary": "octet_length({})"}

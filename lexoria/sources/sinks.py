@@ -16,13 +16,33 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Drop and rebuild: written beside the table, then put in its place."""
-    spark, side = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
+    """Drop and rebuild: written under a staging name, then put in force by one rename as the next version
+    of the table, which `read_table` reads. The version before stays for readers that are under way; those
+    before it go. Nothing is lost or half seen if this fails, and of two writers at once one fails."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    side = f"{path}/_{uuid.uuid4().hex[:12]}"
     df.write.parquet(side)
-    if exists(spark, path):
-        remove(spark, path)
-    rename(spark, side, path)
+    have = _versions(spark, path)
+    rename(spark, side, f"{path}/v{have[-1] + 1 if have else 1:08d}", fresh=True)
+    for old in have[:-1]:
+        remove(spark, f"{path}/v{old:08d}")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table that is in force."""
+    have = _versions(spark, path)
+    if not have:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path.rstrip('/')}/v{have[-1]:08d}")
 
 
 def create_table(df: DataFrame, path: str) -> None:
@@ -37,10 +57,9 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
 
 def accumulate(spark: SparkSession, path: str, new: DataFrame, keys: list[str], sums: list[str], latest: list[str]) -> DataFrame:
     """Add counts to a stored table: sums add up, `latest` columns take the latest value."""
-    rows = spark.read.parquet(path).unionByName(new) if exists(spark, path) else new
-    out = merge_counts(rows, keys, sums, latest)
-    replace_table(out, path)
-    return spark.read.parquet(path)
+    rows = read_table(spark, path).unionByName(new) if _versions(spark, path) else new
+    replace_table(merge_counts(rows, keys, sums, latest), path)
+    return read_table(spark, path)
 
 
 def merge_counts(rows: DataFrame, keys: list[str], sums: list[str], latest: list[str]) -> DataFrame:
@@ -49,9 +68,9 @@ def merge_counts(rows: DataFrame, keys: list[str], sums: list[str], latest: list
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Last wins: stored and new rows, of each key the last by `order`."""
-    rows = spark.read.parquet(path).unionByName(new) if exists(spark, path) else new
+    rows = read_table(spark, path).unionByName(new) if _versions(spark, path) else new
     replace_table(last_per_key(rows, keys, order), path)
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 def fixed(df: DataFrame, places: dict[str, int]) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from lexoria.operators.changes import apply_changes, live
@@ -62,3 +63,30 @@ def test_payload_prefers_the_delivery_with_the_note(spark):
 
 def test_empty_feed(spark):
     assert apply_changes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_local_state_is_handed_on_in_portions(spark, monkeypatch):
+    from lexoria.operators import changes
+
+    rows = [(i % 7, f"w{i % 50}", i, i, i % 3 % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id long, word string, updated_at long, seq long, deleted int").repartition(3)
+    want = sorted(map(tuple, changes.apply_changes(df).collect()))
+    monkeypatch.setattr(changes, "LOCAL_BYTES", 100)
+    monkeypatch.setattr(changes, "BYTES_PER_BUCKET", 5_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        assert changes._buckets(df) > 4
+        assert sorted(map(tuple, changes.apply_changes(df).collect())) == want and len(want) == 350
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from lexoria.plans import runtime
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, _lexoria_shipped=True)
+    with pytest.raises(ValueError):
+        runtime.shared_dir(SimpleNamespace(conf=conf, sparkContext=sc))

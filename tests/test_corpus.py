@@ -1,3 +1,8 @@
+import random
+import unicodedata
+
+from lexoria.functions import text as X
+
 import math
 import random
 
@@ -102,3 +107,13 @@ def test_keyed(spark):
     from lexoria.functions.text import fold
 
     assert {x.k: x.n for x in lookup_two_tier(q, "k", t, "w", fold, ["n"]).collect()} == {"șir": 1, "sir": 1, "tot": 2, "TOT": None, "x": None}
+
+
+def test_normalize_is_native_and_composes_as_unicode_does(spark):
+    r = random.Random(3)
+    letters = "abcsțiâăxyz AȘșȩ\u0331\u0323\u05b7\u0326\u0327\u0301\u0306\u0302\u0308\u030c\u05d1\n1|\u093c\u092fжй\u0938é"
+    rows = [("".join(r.choice(letters) for _ in range(r.randrange(9))),) for _ in range(1500)] + [(None,), ("",), ("s\u0327",), ("e\u0302\u0301",)]
+    df = spark.createDataFrame(rows, "s string").select("s", X.normalize("s").alias("n"))
+    for x in df.collect():
+        assert x.n == (None if x.s is None else unicodedata.normalize("NFC", x.s.lower().replace("ş", "ș").replace("ţ", "ț")))
+    assert "Python" not in df._jdf.queryExecution().toString()

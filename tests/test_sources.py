@@ -87,3 +87,26 @@ def test_sinks(spark, tmp_path):
     sinks.write_lines(df, at("l"), F.col("k"))
     assert spark.read.text(at("l")).count() == 2
     assert [r.k for r in sinks.keep_newest(df, "t", "k", 1).collect()] == ["b"]
+
+
+def test_a_table_is_never_missing_while_it_is_replaced(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    one = lambda n: spark.createDataFrame([(n,)], "n int")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, path)
+    sinks.replace_table(one(1), path)
+    before = sinks.read_table(spark, path)
+    sinks.replace_table(one(2), path)
+    assert before.first().n == 1 and sinks.read_table(spark, path).first().n == 2
+
+    def fails(*_, **__):
+        raise OSError("stopped")
+
+    monkeypatch.setattr(sinks, "rename", fails)
+    with pytest.raises(OSError):
+        sinks.replace_table(one(3), path)
+    monkeypatch.undo()
+    assert sinks.read_table(spark, path).first().n == 2
+    sinks.replace_table(sinks.read_table(spark, path).selectExpr("n + 2 as n"), path)
+    assert sinks.read_table(spark, path).first().n == 4 and len(sinks._versions(spark, path)) == 2
+    assert sinks.upsert(spark, f"{path}2", one(1), ["n"], ["n"]).count() == 1 and sinks.upsert(spark, f"{path}2", one(5), ["n"], ["n"]).count() == 2
