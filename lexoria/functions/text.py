@@ -144,7 +144,7 @@ def clean_entry(c: Column | str) -> Column:
 
 def pointer_target(c: Column | str) -> Column:
     """The word that a definition only points to ('vezi X'), or null."""
-    return F.nullif(normalize_plain(F.regexp_extract(_col(c), r"^\s*vezi\s+([^\s,;.]+)\s*\.?\s*$", 1)), F.lit(""))
+    return F.nullif(normalize_plain(F.regexp_extract(_col(c), r"(?iU)^\s*vezi\s+([^\s,;.]+)\s*\.?\s*$", 1)), F.lit(""))
 
 
 def crumb_key(c: Column | str) -> Column:
@@ -247,28 +247,41 @@ def count_phrase(n: Column | str, one: str, many: str) -> Column:
     )
 
 
-# Abbreviations of word classes and marks of usage in entries of synonym dictionaries.
-ENTRY_MARKS = ["adj", "adv", "art", "conj", "expr", "interj", "loc", "num", "part", "prep", "pron", "s", "m", "f", "n", "vb", "tr", "intr", "refl", "pl", "sg"]
+# Abbreviations of word classes that stand before a sense of a synonym entry.
+ENTRY_ABBREVIATIONS = [
+    "adj", "adv", "s", "sf", "sm", "sn", "vb", "vt", "vi", "interj", "art", "pron", "prep", "conj", "num", "pl", "sg",
+]
+# Signs that are cut off both ends of a listed word.
+ENTRY_SIGNS = " \t\n-–—*≠~"
 
 
 def entry_words(text: Column | str, head: Column | str) -> Column:
-    """The words that a synonym entry lists, in order and once each.
+    """The words that a synonym entry lists, as they are written, in order and once each; null gives null.
 
-    Without what stands in brackets, references ('v. X'), sense numbers, leading capitals and
-    abbreviations; parts of over 40 characters or 4 words, single characters, parts without a small
-    letter and the headword itself are left out.
+    What stands in brackets goes, references ('v. X', up to the next mark), sense numbers and
+    abbreviations of word classes; then the text is cut at commas, semicolons and full stops. Of each part
+    stress marks, signs at the ends and a run of capitals before it are left out. Parts with a tilde,
+    without a small letter, of over 40 characters or 4 words, of one character, the headword itself and
+    what was there before (in normalized form) give nothing.
     """
-    x = F.regexp_replace(_col(text), r"\([^)]*\)|\[[^\]]*\]", " ")
-    x = F.regexp_replace(x, r"(?i)\bv\.\s+\S+", " ")
-    x = F.regexp_replace(x, r"\b\d+\.", ",")
-    x = F.regexp_replace(x, rf"(?i)(?<!\p{{L}})(?:{'|'.join(ENTRY_MARKS)})\.", ",")
-    x = F.regexp_replace(x, r"^\s*\p{Lu}[\p{Lu}\s\-]*(?=\s|,|$)", " ")
-    x = F.translate(x, "́̀", "")
-    parts = F.transform(F.split(x, r"[,;.]"), lambda p: F.lower(F.trim(F.regexp_replace(p, r"\s+", " "))))
-    keep = lambda p: (
-        (F.length(p) >= 2) & (F.length(p) <= 40) & (F.size(F.split(p, " ")) <= 4) & p.rlike(r"\p{Ll}") & (p != F.lower(_col(head)))
-    )
-    return F.array_distinct(F.filter(parts, keep))
+    x = F.regexp_replace(_col(text), r"\([^)]*\)", " ")
+    x = F.regexp_replace(x, r"(?iU)\bv\s*\.\s*[^,;.]+", " ")
+    x = F.regexp_replace(x, r"(?U)\b\d+\s*\.", " ")
+    x = F.regexp_replace(x, rf"(?iU)\b(?:{'|'.join(ENTRY_ABBREVIATIONS)})\s*\.", " ")
+    sides = F.lit(ENTRY_SIGNS)
+    parts = F.transform(F.split(x, r"[,;.]"), lambda p: F.btrim(strip_stress(p), sides))
+    parts = F.filter(parts, lambda p: ~p.contains("~"))
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^[A-ZĂÂÎȘȚ][A-ZĂÂÎȘȚ0-9'\- ]*\s+", ""))
+    parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
+    parts = F.filter(parts, lambda p: p.rlike("[a-zăâîșț]") & (F.length(p) <= 40) & (F.size(F.split(p, " ")) <= 4))
+    keyed = F.transform(parts, lambda p: F.struct(normalize(p).alias("k"), p.alias("p")))
+    keyed = F.filter(keyed, lambda y: (F.length(y["k"]) >= 2) & ~y["k"].eqNullSafe(normalize(strip_stress(head))))
+    # each key once, at its first place
+    first = F.aggregate(
+        keyed, F.struct(F.array().cast("array<string>").alias("k"), F.array().cast("array<string>").alias("p")),
+        lambda acc, y: F.when(F.array_contains(acc["k"], y["k"]), acc).otherwise(F.struct(F.array_append(acc["k"], y["k"]).alias("k"), F.array_append(acc["p"], y["p"]).alias("p"))),
+    )
+    return first["p"]
 
 
 def strip_stress(c: Column | str) -> Column:

@@ -73,6 +73,30 @@ def refresh_list(items: DataFrame, wanted: DataFrame, cap: int = 1000) -> DataFr
     return kept.select("list", "word", F.col("position").cast("int").alias("position")).unionByName(added).where(F.col("position") < cap)
 
 
+def fill_list(items: DataFrame, wanted: DataFrame, cap: int = 1000) -> DataFrame:
+    """(list, word, position): a list made to hold the first `cap` wanted words. Items that stay keep their
+    position; a new one gets the highest position that stays plus its place among the wanted words, so
+    gaps are left where words were there already. `items`: list, word, position; `wanted`: list, word, place
+    (from 1, without gaps within a list)."""
+    w = wanted.where(F.col("place") <= cap).select("list", "word", "place")
+    kept = items.join(w, ["list", "word"], "left_semi").select("list", "word", F.col("position").cast("long").alias("position"))
+    top = kept.groupBy("list").agg(F.max("position").alias("_top"))
+    new = w.join(items, ["list", "word"], "left_anti").join(top, "list", "left")
+    return kept.unionByName(new.select("list", "word", (F.coalesce("_top", F.lit(0)) + F.col("place")).cast("long").alias("position")))
+
+
+def apply_remote(local: DataFrame, remote: DataFrame, key: list[str], clock: str, payload: list[str]) -> DataFrame:
+    """A client's rows after the server's changes: a row that is as new as the change or newer stays, a
+    tombstone takes an older one away, any other change puts its row in place. `remote` has one row per
+    key, with `deleted`; rows of `local` have none."""
+    a = local.select(*key, F.struct(clock, *payload).alias("_l"))
+    b = remote.select(*key, F.struct(clock, *payload).alias("_r"), F.col("deleted").alias("_d"))
+    both = a.join(b, key, "full")
+    stays = F.col("_l").isNotNull() & (F.col("_r").isNull() | F.coalesce(F.col(f"_l.{clock}") >= F.col(f"_r.{clock}"), F.lit(False)))
+    now = both.select(*key, F.when(stays, F.col("_l")).when(F.coalesce(F.col("_d"), F.lit(0)) == 0, F.col("_r")).alias("_n")).where("_n is not null")
+    return now.select(*key, *[F.col(f"_n.{c}").alias(c) for c in (clock, *payload)])
+
+
 def rate_limited(events: DataFrame, who: str, at: str, seconds: int, most: int, tie: str) -> DataFrame:
     """Events with `allowed`: the first so many of each fixed window of a user."""
     window = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / seconds)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as X
+from lexoria.operators.keyed import first_per_key
 from lexoria.plans.runtime import broadcast_within
 
 
@@ -97,6 +98,37 @@ def co_claimants(claims: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.select("lemma", "other").distinct().join(w, "other", "left").groupBy("lemma").agg(best.alias("other"))
 
 
+def best_runs(runs: DataFrame) -> DataFrame:
+    """Of each corpus (corpus_name, id, docs, at, status) the completed run with the most documents, of equals
+    the latest, then the first by id; corpora without a completed run have none."""
+    rows = runs.where("status = 'completed'")
+    return first_per_key(rows, ["corpus_name"], [-F.col("docs"), -F.coalesce(F.unix_micros("at"), F.lit(-(1 << 62))), "id"])
+
+
+# Tokens of a document on average, and distinct words of a corpus at least.
+TOKEN_RATIO, LEAST_WORDS = (50, 2000), 5000
+
+
+def quality_checks(counts: DataFrame, runs: DataFrame, expected: list[str], ratio: tuple[int, int] = TOKEN_RATIO, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(corpus_name, check_name, verdict): no word in more documents than were read, no count of 0 or less,
+    tokens of a document within a range, enough words where a run is completed; and for '' whether all
+    expected corpora are. `counts`: corpus_name, word, occurrences, documents; `runs`: corpus_name, docs,
+    tokens, status, one row per corpus."""
+    q = counts.groupBy("corpus_name").agg(F.count_distinct("word").alias("_words"), F.max("documents").alias("_top"), F.count_if(F.col("occurrences") <= 0).alias("_bad"))
+    q = q.join(runs, "corpus_name", "left")
+    each = F.col("tokens") / F.col("docs")
+    w = q.select(
+        "corpus_name",
+        F.when((F.col("docs") > 0) & (F.col("_top") > F.col("docs")), "fail").otherwise("pass").alias("no_cycling"),
+        F.when(F.col("_bad") > 0, "fail").otherwise("pass").alias("positive_counts"),
+        F.when((F.col("docs") > 0) & (F.col("tokens") > 0), F.when((each < ratio[0]) | (each > ratio[1]), "warn").otherwise("pass")).otherwise("skip").alias("token_ratio"),
+        F.when(F.coalesce(F.col("status") != "completed", F.lit(True)), "skip").when(F.col("_words") < least_words, "fail").otherwise("pass").alias("word_coverage"),
+    )
+    done = q.where("status = 'completed'").agg(F.count_if(F.col("corpus_name").isin(expected)).alias("n"))
+    last = done.select(F.lit("").alias("corpus_name"), F.lit("all_complete").alias("check_name"), F.when(F.col("n") < len(set(expected)), "warn").otherwise("pass").alias("verdict"))
+    return w.unpivot(["corpus_name"], ["no_cycling", "positive_counts", "token_ratio", "word_coverage"], "check_name", "verdict").unionByName(last)
+
+
 # --- classification: ladders of conditions -----------------------------------------------------------
 
 

@@ -108,6 +108,17 @@ def cliques(groups: DataFrame, edges: DataFrame, base: int, src: int = 2) -> tup
     return g, g.select("sid", "word", F.lit(1).alias("type"), F.lit(src).alias("src"))
 
 
+def ordered_senses(claimed: DataFrame, bands: DataFrame) -> DataFrame:
+    """(word, sid, member, sense_place, member_place): a word's senses by their members' highest band and
+    then by number, members of a sense by band and then by name, from 1. `claimed`: word, sid, member, each
+    member in one sense of a word; `bands`: word, band, 0 for others."""
+    m = claimed.join(bands.select(F.col("word").alias("member"), "band"), "member", "left").select("word", "sid", "member", (-F.coalesce("band", F.lit(0))).alias("_b"))
+    m = publish(m, "claimed")
+    senses = m.groupBy("word", "sid").agg(F.min("_b").alias("_b"))
+    senses = global_rank(senses, ["_b", "sid"], "sense_place", ["word"]).select("word", "sid", "sense_place")
+    return global_rank(m, ["_b", "member"], "member_place", ["word", "sid"]).join(senses, ["word", "sid"]).select("word", "sid", "member", "sense_place", "member_place")
+
+
 def tree_pairs(members: DataFrame, tree_entries: DataFrame, linked: DataFrame) -> DataFrame:
     """(tree_id, a, b), a < b: words of one tree of several entries that no edge of type 1 links, in either
     direction. `members`: tree_id, word; `tree_entries`: tree_id, entry_id; `linked`: a, b."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as X
-from lexoria.operators import corpus as C
+from lexoria.operators import community as M, corpus as C
 from lexoria.operators.keyed import distinct_in_order, first_per_key, last_per_key, lookup_two_tier, preferred_per_key
 from lexoria.operators.rank import global_rank, new_numbers, percentile_ranks
 from lexoria.plans.runtime import broadcast_within, publish, read
@@ -240,16 +240,22 @@ def agg_21(spark, sf_dir):
     return z.where("z is not null").groupBy("lemma").agg(F.round(F.max("z"), 6).alias("zipf"))
 
 
-@query(f"""{BASE}, q as (select corpus_name, count(*) as words, cast(sum(o) as bigint) as tokens, max(d) as top, sum(case when o <= 0 then 1 else 0 end) as bad from c group by 1)
-select corpus_name, 'positive' as check_name, case when bad = 0 then 'ok' else 'fail' end as verdict from q
-union all select corpus_name, 'words', case when words >= 500 then 'ok' else 'fail' end from q
-union all select corpus_name, 'documents', case when top <= tokens then 'ok' else 'fail' end from q""")
+@query(f"""{BASE}, q as (select corpus_name, count(distinct word) as words, cast(sum(o) as bigint) as tokens, max(d) as top, sum(case when o <= 0 then 1 else 0 end) as bad from c group by 1),
+r as (select *, case when corpus_name like 'w%' then top - 1 else greatest(top, tokens // 100) end as docs, corpus_name <> 'carti_scanate' as done from q)
+select corpus_name, 'no_cycling' as check_name, case when docs > 0 and top > docs then 'fail' else 'pass' end as verdict from r
+union all select corpus_name, 'positive_counts', case when bad > 0 then 'fail' else 'pass' end from r
+union all select corpus_name, 'token_ratio', case when docs > 0 and tokens > 0 then case when tokens / docs < 50 or tokens / docs > 2000 then 'warn' else 'pass' end else 'skip' end from r
+union all select corpus_name, 'word_coverage', case when not done then 'skip' when words < 5000 then 'fail' else 'pass' end from r
+union all select '', 'all_complete', case when exists (select 1 from (values ('romane_vechi'), ('carti_scanate')) e(n) where n not in (select corpus_name from r where done)) then 'warn' else 'pass' end""")
 def agg_22(spark, sf_dir):
-    """Checks of a corpus's counts."""
-    q = _counts(spark, sf_dir).groupBy("corpus_name").agg(F.count("*").alias("words"), F.sum("occurrences").alias("tokens"), F.max("documents").alias("top"), F.count_if(F.col("occurrences") <= 0).alias("bad"))
-    ok = lambda c: F.when(c, "ok").otherwise("fail")
-    w = q.select("corpus_name", ok(F.col("bad") == 0).alias("positive"), ok(F.col("words") >= 500).alias("words"), ok(F.col("top") <= F.col("tokens")).alias("documents"))
-    return w.unpivot(["corpus_name"], ["positive", "words", "documents"], "check_name", "verdict")
+    """Checks of corpora's counts against their runs. Stand-ins: a run has as many documents as its most
+    frequent word, or a hundredth of its tokens if that is more, one too few in corpora of the web; one
+    corpus isn't completed."""
+    c = publish(_counts(spark, sf_dir), "counts")
+    q = c.groupBy("corpus_name").agg(F.sum("occurrences").alias("tokens"), F.max("documents").alias("top"))
+    docs = F.when(F.col("corpus_name").startswith("w"), F.col("top") - 1).otherwise(F.greatest("top", F.floor(F.col("tokens") / 100)))
+    runs = q.select("corpus_name", docs.alias("docs"), "tokens", F.when(F.col("corpus_name") != "carti_scanate", "completed").otherwise("started").alias("status"))
+    return C.quality_checks(c, runs, ["romane_vechi", "carti_scanate"])
 
 
 @query("""with d as (select distinct doc_id, coalesce(source, '?') as source, coalesce(lang, '?') as lang from documents)
@@ -371,11 +377,17 @@ def win_04(spark, sf_dir):
     return preferred_per_key(d, ["word"], F.coalesce(F.col("source_id") == 1, F.lit(False)), ["def_id"]).select("word", "def_id")
 
 
-@query("select corpus_name, arg_max(id, strftime(last_updated, '%Y%m%d%H%M%S%f') || lpad(id || '', 12, '0')) as id from corpus_word_frequency where corpus_name is not null and last_updated is not null group by 1")
+@query("""with r as (select distinct on (id) id, corpus_name, coalesce(document_count, 0) as docs, last_updated as t, id % 3 <> 0 as done from corpus_word_frequency where corpus_name is not null),
+b as (select corpus_name, id, docs, row_number() over (partition by corpus_name order by docs desc, t desc nulls last, id) as k from r where done)
+select corpus_name, max(r.id) as newest_id, max(b.id) as best_id, max(b.docs) as best_docs from r left join b using (corpus_name) where coalesce(b.k, 1) = 1 group by corpus_name""")
 def win_05(spark, sf_dir):
-    """The latest run of each corpus."""
-    c = read(spark, sf_dir, "corpus_word_frequency").where("corpus_name is not null and last_updated is not null").select("corpus_name", "id", "last_updated")
-    return last_per_key(c, ["corpus_name"], ["last_updated", "id"]).select("corpus_name", "id")
+    """The run of each corpus that counts: of the completed ones that with the most documents, then the
+    latest; and the newest run of all. Stand-ins: counts are runs, two of three of them completed."""
+    c = read(spark, sf_dir, "corpus_word_frequency").where("corpus_name is not null").dropDuplicates(["id"])
+    r = c.select("corpus_name", "id", F.coalesce("document_count", F.lit(0)).alias("docs"), F.col("last_updated").cast("timestamp").alias("at"), F.when(F.col("id") % 3 != 0, "completed").otherwise("started").alias("status"))
+    r = publish(r, "runs")
+    best = C.best_runs(r).select("corpus_name", F.col("id").alias("best_id"), F.col("docs").alias("best_docs"))
+    return r.groupBy("corpus_name").agg(F.max("id").alias("newest_id")).join(best, "corpus_name", "left")
 
 
 @query("select word, meaning_id, row_number() over (partition by word order by meaning_id) - 1 as ord from (select distinct word, meaning_id from meanings where word is not null)")
@@ -395,7 +407,17 @@ def win_13(spark, sf_dir):
     return new_numbers(known, a.select(F.col("word").alias("name")))
 
 
-QUERIES["win_12"], ORACLES["win_12"] = win_13, ORACLES["win_13"]
+@query("""with i as (select user_id as list, word, row_number() over (partition by user_id order by min(seq), word) as position from annotations where word is not null and user_id is not null and deleted = 0 group by 1, 2),
+w as (select *, row_number() over (partition by list order by word) as place from (select distinct user_id as list, word from annotations where word is not null and user_id is not null and bookmarked = 1)),
+t as (select list, max(position) as top from i semi join (select * from w where place <= 1000) using (list, word) group by 1)
+select w.list, w.word, coalesce(i.position, coalesce(top, 0) + place) as position from w left join i using (list, word) left join t on t.list = w.list where place <= 1000""")
+def win_12(spark, sf_dir):
+    """Lists filled from bookmarks: what stays keeps its position, new words come after the highest one.
+    Stand-ins: a user's live words are the list, in the order of their sequence."""
+    a = read(spark, sf_dir, "annotations").where("word is not null and user_id is not null").withColumnRenamed("user_id", "list")
+    i = global_rank(a.where("deleted = 0").groupBy("list", "word").agg(F.min("seq").alias("s")), ["s", "word"], "position", ["list"]).select("list", "word", "position")
+    w = global_rank(a.where("bookmarked = 1").select("list", "word").distinct(), ["word"], "place", ["list"])
+    return M.fill_list(publish(i, "items"), publish(w, "wanted"))
 
 
 @query("select lemma, arg_min(form, (case when form = lemma then 0 else 1 end) * 1000000000 + form_id) as form from form_lemma where lemma is not null and form is not null group by lemma")

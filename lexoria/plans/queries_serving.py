@@ -14,6 +14,7 @@ from lexoria.operators.rank import global_rank
 from lexoria.plans.queries_lexicon import BASE, OBJ, _claims, _counts, _cover, _object_tags
 from lexoria.plans.queries_problems import _EDGES, _nodes
 from lexoria.plans.runtime import publish, read
+from lexoria.sources import files
 from lexoria.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -123,7 +124,7 @@ def flt_22(spark, sf_dir):
 _REASON = "case when length(word) <= 5 then 'short' when definition is null then 'no_definition' when word like '% %' or word like '%-%' then 'several_words' when lower(word) <> word then 'capital' when occ = 0 then 'unseen' else 'kept' end"
 
 
-@query(f"{WORDS} select {_REASON} as reason, count(*) as n from words group by 1", "flt_02")
+@query(f"{WORDS} select {_REASON} as reason, count(*) as n from words group by 1")
 def flt_03(spark, sf_dir):
     """Rows by the first rule that they fail."""
     w = F.col("word")
@@ -134,6 +135,27 @@ def flt_03(spark, sf_dir):
     return words(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+# stand-ins for lexemes: an article is one, with a frequency, a type of inflection and a description of its own
+KINDS = ["F1", "M", "N", "A", "AF", "VT", "PT", "SP", "T", "I", "", "IL3"]
+_KIND = "list_value(" + ", ".join(f"'{k}'" for k in KINDS) + ")[1 + def_id % 12]"
+LEXEMES = f"(select distinct def_id, word as form, def_id % 102 / 100.0::double as frequency, {_KIND} as kind, replace(regexp_extract(definition, '^((?:s\. [fmn]|adv|adj|vb)\.)', 1), ' ', '') as description from definitions)"
+
+
+def _lexemes(spark, sf_dir):
+    d = read(spark, sf_dir, "definitions").select("def_id", "word", "definition").distinct()
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (1 + F.col("def_id") % 12).cast("int"))
+    described = F.replace(F.regexp_extract("definition", r"^((?:s\. [fmn]|adv|adj|vb)\.)", 1), F.lit(" "), F.lit(""))
+    return d.select("def_id", F.col("word").alias("form"), (F.col("def_id") % 102 / 100.0).alias("frequency"), kind.alias("kind"), described.alias("description"))
+
+
+@query(f"""select def_id, case when regexp_matches(form, '^\\p{{Lu}}') then 'proper_noun' when regexp_matches(form, '^[A-Z][a-z]+ [A-Z]') or contains(form, ' ') or regexp_matches(form, '^[a-z]+-[a-z]+') then 'foreign'
+when not coalesce(regexp_matches(lower(description), 'adj|s\\.m|s\\.f|s\\.n|vb|adv|interj|înv|reg|pop|dial|arh'), false) and regexp_extract(kind, '^[A-Z]+') not in ('A', 'N', 'F', 'M', 'VT', 'VI', 'IL', 'PT', 'P') then 'no_description' else 'kept' end as verdict
+from {LEXEMES} where frequency > 0.01 and frequency < 1.0 and length(form) > 3""")
+def flt_02(spark, sf_dir):
+    """Candidates of a curated list, with the first rule that leaves each out."""
+    return G.curated(_lexemes(spark, sf_dir)).select("def_id", "verdict")
+
+
 @query("select norm as word, max(def_id) as def_id from (select nfc_normalize(translate(lower(word), 'şţ', 'șț')) as norm, def_id from definitions where length(word) > 2 and definition <> '') group by norm")
 def flt_04(spark, sf_dir):
     """Candidates; of rows that normalize alike the last."""
@@ -156,11 +178,23 @@ def flt_07(spark, sf_dir):
     return read(spark, sf_dir, "definitions").select("def_id", ((t == "") | F.lower(t).startswith("[fără definiț")).cast("int").alias("placeholder")).distinct()
 
 
-@query(f"{WORDS}, q as (select word, dict_count, string_split(definition, '|')[1] as s from words) select word from q where dict_count >= 2 and length(s) >= 12 and not regexp_matches(lower(trim(s)), '^(vezi|v\\.)\\s|^(diminutiv|augmentativ)') and not s like '%:' and regexp_matches(word, '^\\p{{Ll}}')", "flt_24")
+_SEG = "trim(string_split(definition, '|')[1], ' ')"
+
+
+@query(f"""{WORDS} select word from words where not regexp_matches(word, '^\\p{{Lu}}') and coalesce(newest, 9999) >= 2000 and dim = 0 and dict_count >= 3 and length({_SEG}) >= 12
+and lower({_SEG}) not like 'vezi %' and lower({_SEG}) not like 'diminutiv%' and lower({_SEG}) not like 'augmentativ%' and {_SEG} not like '%:' and {_SEG} not glob '[A-Z][A-Z]*'""")
 def flt_23(spark, sf_dir):
-    """Words that can be asked about."""
-    s = X.first_segment("definition")
-    return words(spark, sf_dir).where((F.col("dict_count") >= 2) & (F.length(s) >= 12) & ~X.is_pointer(s) & ~s.rlike(":$") & F.col("word").rlike(r"^\p{Ll}")).select("word")
+    """Words that can be asked about. Stand-ins: words in capitals are proper nouns, those of old editions
+    only have old spellings, diminutives are variants."""
+    flags = {"proper": F.col("word").rlike(r"^\p{Lu}").cast("int"), "archaic": (F.coalesce("newest", F.lit(9999)) < 2000).cast("int")}
+    return words(spark, sf_dir).withColumns(flags).where(G.fair_question(["proper", "archaic", "dim"])).select("word")
+
+
+@query(f"{WORDS} select word from words where tier = '2' and definition is not null and not regexp_matches(word, '^\\p{{Lu}}') and dict_count >= 3")
+def flt_24(spark, sf_dir):
+    """Words that may be the word of a day: of one tier, defined, no proper nouns, in 3 dictionaries."""
+    w = words(spark, sf_dir)
+    return w.where((F.col("tier") == "2") & F.col("definition").isNotNull() & ~F.col("word").rlike(r"^\p{Lu}") & (F.col("dict_count") >= 3)).select("word")
 
 
 @query(f"{WORDS} select word, concat_ws(',', case when dim = 1 then 'diminutives' end, case when dev = 1 then 'deverbal' end, case when tier = '0' then 'tier' end) as relax from words")
@@ -170,19 +204,20 @@ def flt_25(spark, sf_dir):
     return words(spark, sf_dir).select("word", w.alias("relax"))
 
 
-@query(f"{WORDS} select word from words where occ >= 100 and word not in (select lemma from form_lemma where lemma is not null)", "set_03")
+@query(f"{WORDS} select word from words where occ >= 100 and word not in (select lemma from form_lemma where lemma is not null)")
 def flt_26(spark, sf_dir):
     """Frequent headwords that no form covers: a difference of sets."""
     f = read(spark, sf_dir, "form_lemma").select(F.col("lemma").alias("word"))
     return words(spark, sf_dir).where("occ >= 100").join(f, "word", "left_anti").select("word")
 
 
-@query("with todo as (select lemma as word, min(form_id) as o from form_lemma where lemma is not null group by 1) select word, o from todo where word not in (select word from definitions where word is not null and definition <> '') and word not in (select word from annotations where word is not null) order by o limit 50")
+@query("with todo as (select lemma as word, min(form_id) as o from form_lemma where lemma is not null group by 1) select word, o from todo where word not in (select word from definitions where word is not null and source_id % 3 = 0) and word not in (select word from annotations where word is not null and bookmarked = 1) order by o limit 50")
 def flt_27(spark, sf_dir):
-    """What is left to do, less what is done and what was tried, in order; the first 50."""
+    """What is left to do, less what is done and what was tried, in order; the first 50. Stand-ins: articles
+    of every third edition are done, bookmarked words were tried."""
     f, d, a = read(spark, sf_dir, "form_lemma", "definitions", "annotations")
     todo = f.where("lemma is not null").groupBy(F.col("lemma").alias("word")).agg(F.min("form_id").alias("o"))
-    return todo.join(d.where("definition <> ''"), "word", "left_anti").join(a, "word", "left_anti").select("word", "o").orderBy("o").limit(50)
+    return todo.join(d.where("source_id % 3 = 0"), "word", "left_anti").join(a.where("bookmarked = 1"), "word", "left_anti").select("word", "o").orderBy("o").limit(50)
 
 
 _HOST = "'https://' || case source_id when 1 then 'www.exemplu.ro' when 2 then 'altexemplu.ro' else 'exemplu.ro' end || '/x?y=1'"
@@ -344,6 +379,26 @@ def set_01(spark, sf_dir):
     return d.where("word is not null").select("word").union(f.where("lemma is not null").select("lemma")).distinct()
 
 
+EXPECTED = ["romane_vechi", "web_azi", "parlament", "reviste"]
+
+
+@query(f"""{WORDS} select 'uncovered' as kind, word as item from words where occ >= 100 and word not in (select lemma from form_lemma where lemma is not null)
+union all (select 'capital', lower(word) from corpus_word_frequency where regexp_matches(word, '^\\p{{Lu}}') except select 'capital', word from corpus_word_frequency)
+union all (select 'unsampled', word from annotations where word is not null except select 'unsampled', word from definitions)
+union all (select 'corpus', unnest({EXPECTED!r}) except select 'corpus', corpus_name from corpus_word_frequency)""")
+def set_03(spark, sf_dir):
+    """Four differences: frequent headwords less those covered, words in capitals less those in small letters,
+    a sample less what is there, corpora expected less those complete."""
+    f, c, a, d = read(spark, sf_dir, "form_lemma", "corpus_word_frequency", "annotations", "definitions")
+    less = lambda kind, x, y: x.select(F.col(x.columns[0]).alias("item")).where("item is not null").distinct().join(y.select(F.col(y.columns[0]).alias("item")), "item", "left_anti").select(F.lit(kind).alias("kind"), "item")
+    want = spark.createDataFrame([(x,) for x in EXPECTED], "item string")
+    return (
+        less("uncovered", words(spark, sf_dir).where("occ >= 100").select("word"), f.select("lemma"))
+        .unionByName(less("capital", c.where(F.col("word").rlike(r"^\p{Lu}")).select(F.lower("word")), c.select("word")))
+        .unionByName(less("unsampled", a.select("word"), d.select("word"))).unionByName(less("corpus", want, c.select("corpus_name")))
+    )
+
+
 @query("select distinct user_id, seq, cast(coalesce(list_has_any(tags, ['lol', 'meh']), false) as int) as voted from annotations")
 def set_04(spark, sf_dir):
     """Whether two sets of tags meet."""
@@ -460,45 +515,102 @@ def win_08_own(spark, sf_dir):
 
 # --- flags -------------------------------------------------------------------------------------------
 
-_ENDS = ", ".join(f"('{e}')" for e in G.DIMINUTIVE_ENDINGS)
+# rules written out in SQL, apart from those of the operators
+_SUFFIX = "('uleț', ''), ('uliță', 'ă'), ('ișor', ''), ('ișoară', 'ă'), ('cioară', 'ă'), ('șoară', 'ă'), ('șor', ''), ('uță', 'ă'), ('uț', '')"
+_DIM = "regexp_matches(definition, '(?:^|\\|)\\s*(?:\\([^)]{0,40}\\)\\s*)?[Dd]iminutiv[\\pL\\pN_]*\\s+(?:al|a|ale|lui|de\\s+la)(?:[^\\pL\\pN_]|$)')"
+# every other word has a diminutive, and stands in an old spelling with a fiftieth of its count
+_OLD = "case when starts_with(w, 'tr') then 'adv' || substr(w, 3) else w || 'țiune' end"
+_NEW = "case when starts_with(w, 'tr') then 'av' || substr(w, 3) else w || 'ție' end"
 
 
-@query(f"""{WORDS}, s as (select word, left(word, length(word) - length(e)) as stem from words, (values {_ENDS}) v(e) where ends_with(word, e)),
-h as (select distinct word from s where length(stem) > 2 and (stem in (select form from form_lemma where form is not null) or stem || 'ă' in (select form from form_lemma where form is not null)))
-select w.word, cast(coalesce(regexp_matches(lower(definition), '^\\s*(?:\\p{{L}}+\\.\\s*)*diminutiv\\b'), false) or h.word is not null as int) as diminutive from words w left join h on h.word = w.word""")
-def cls_09(spark, sf_dir):
-    """Diminutives by definition or by ending."""
-    return G.diminutives(words(spark, sf_dir), read(spark, sf_dir, "form_lemma").where("form is not null")).select("word", "diminutive")
+def _made(w: DataFrame, c) -> DataFrame:
+    return w.where(F.length("word") % 2 == 0).select(c.alias("word"), F.col("occ"))
 
 
-@query(f"""{WORDS}, r as (select word, occ, unnest([{{'i': 0, 'm': regexp_replace(word, '^sb', 'zb')}}, {{'i': 1, 'm': regexp_replace(word, '^sg', 'zg')}}, {{'i': 2, 'm': regexp_replace(word, '^sd', 'zd')}}, {{'i': 3, 'm': regexp_replace(word, 'iu$', 'i')}}, {{'i': 4, 'm': regexp_replace(word, 'ea$', 'ie')}}, {{'i': 5, 'm': regexp_replace(word, 'â', 'î', 'g')}}]) as c from words)
-select word, arg_min(c.m, c.i) as modern from r join (select distinct on (word) word as w, occ as n from words) x on x.w = c.m where c.m <> word and n >= 20 * greatest(occ, 1) group by word""")
+@query(f"""{WORDS}, w as (select word, definition from words union all select word || 'uliță', null from words where length(word) % 2 = 0 union all select word || 'uț', null from words where length(word) % 2 = 0),
+s as (select word, left(lower(word), length(word) - length(e)) || r as base, length(word) - length(e) as n from w, (values {_SUFFIX}) v(e, r) where ends_with(lower(word), e)),
+h as (select distinct word from s where n > 2 and base <> lower(word) and base in (select lower(form) from form_lemma where form <> ''))
+select w.word, cast(max(cast(coalesce({_DIM}, false) or h.word is not null as int)) as int) as diminutive from w left join h on h.word = w.word group by w.word""")
+def cls_09(spark, sf_dir):
+    """Diminutives by definition or by ending. Stand-ins: words of even length also stand with two endings."""
+    w = publish(words(spark, sf_dir).select("word", "definition", "occ"), "words")
+    both = w.select("word", "definition")
+    for e in ("uliță", "uț"):
+        both = both.unionByName(_made(w, F.concat("word", F.lit(e))).select("word", F.lit(None).cast("string").alias("definition")))
+    return G.diminutives(both, read(spark, sf_dir, "form_lemma")).groupBy("word").agg(F.max("diminutive").alias("diminutive"))
+
+
+@query(f"""{WORDS}, m as (select word as w, occ from words where length(word) % 2 = 0),
+x as (select word, occ from words union all select {_OLD}, occ // 50 from m union all select {_NEW}, occ from m), y as (select word, max(occ) as occ from x group by 1),
+r as (select word, occ, i, regexp_replace(word, a, b) as modern from y, (values (0, 'țiune$', 'ție'), (1, 'ziune$', 'zie'), (2, 'siune$', 'sie'), (5, '^adv', 'av')) v(i, a, b)
+  union all select word, occ, 3, 'z' || substr(word, 2) from y where regexp_matches(word, '^s[bdg]') union all select word, occ, 4, 'dez' || substr(word, 4) from y where regexp_matches(word, '^des[bdgjlmnrv]'))
+select r.word, arg_min(modern, i) as modern from r join y on y.word = r.modern where modern <> r.word and y.occ >= 20 * greatest(r.occ, 1) group by r.word""")
 def cls_10(spark, sf_dir):
-    """Old spellings of frequent words."""
-    w = publish(words(spark, sf_dir).select("word", F.col("occ").alias("own")), "words")
-    return G.archaic_spellings(w, w.select("word", F.col("own").alias("n")))
+    """Old spellings of frequent words. Stand-ins: words of even length also stand with an old ending or
+    beginning, with a fiftieth of their count, and with the new one."""
+    w = publish(words(spark, sf_dir).select("word", "occ"), "words")
+    tr = F.col("word").startswith("tr")
+    rest = F.expr("substr(word, 3)")
+    old = _made(w, F.when(tr, F.concat(F.lit("adv"), rest)).otherwise(F.concat("word", F.lit("țiune")))).withColumn("occ", F.floor(F.col("occ") / 50))
+    new = _made(w, F.when(tr, F.concat(F.lit("av"), rest)).otherwise(F.concat("word", F.lit("ție"))))
+    y = publish(w.unionByName(old).unionByName(new).groupBy("word").agg(F.max("occ").alias("n")), "spellings")
+    return G.archaic_spellings(y.withColumnRenamed("n", "own"), y)
+
+
+_POINTER = "nfc_normalize(translate(lower(regexp_extract(definition, '(?i)^\\s*vezi\\s+([^\\s,;.]+)\\s*\\.?\\s*$', 1)), 'şţ', 'șț'))"
+# the tables' letters as single bytes, for an edit distance by character
+_BYTES = "translate({}, 'ăâîșțĂÂÎȘȚ', '0123456789')"
+
+
+@query(f"""{WORDS}, e as (select distinct lemma as entry, nfc_normalize(translate(lower(form), 'şţ', 'șț')) as form, cast(form_id % 5 <> 0 and form = lemma as int) as main from form_lemma where lemma is not null and form <> ''),
+hd as (select distinct form as head from e where main = 1), pr as (select distinct a.form as variant, b.form as head from e a join e b using (entry) where a.main = 0 and b.main = 1 and a.form <> b.form),
+sf as (select word, cast(sum(coalesce(occurrence_count, 0)) as bigint) as n from (select distinct on (id) * from corpus_word_frequency where word is not null and corpus_name is not null) group by word),
+pg as (select lemma, cast(sum(n) as bigint) as n from (select distinct form, lemma from form_lemma where form is not null and lemma is not null) join sf on sf.word = form group by 1),
+hc as (select head, max(n) as n from (select word as head, n from sf union all select lemma, n from pg) group by 1),
+a as (select word, definition from words union all select form, null from e where main = 0 and form not in (select word from words)),
+w as (select distinct a.word, {_POINTER} as pointer, 20 * greatest(coalesce(sf.n, 0), 1) as floor from a left join sf using (word)),
+k as (select * from w where coalesce(pointer, '') <> '' or word not in (select head from hd)),
+nm as (select k.word, k.pointer as head from k join hc on hc.head = k.pointer where pointer <> word and hc.n >= floor),
+cd as (select k.word, floor, pr.head, coalesce(hc.n, 0) as n, row_number() over (partition by k.word order by levenshtein({_BYTES.format("k.word")}, {_BYTES.format("pr.head")}), coalesce(hc.n, 0) desc, pr.head) as r
+  from k join pr on pr.variant = k.word left join hc on hc.head = pr.head where k.word not in (select word from nm))
+select word as variant, head from nm union all select word, head from cd where r = 1 and n >= floor""")
+def cls_11(spark, sf_dir):
+    """Variants of far more frequent heads. Stand-ins: a lemma is an entry, its forms stand in it, and the
+    one equal to it is main in four of five entries; these forms are words of the list too."""
+    w = words(spark, sf_dir).select("word", "definition")
+    f = read(spark, sf_dir, "form_lemma").where("lemma is not null and form <> ''")
+    e = f.select(F.col("lemma").alias("entry_id"), "form", ((F.col("form_id") % 5 != 0) & (F.col("form") == F.col("lemma"))).cast("int").alias("main")).distinct()
+    n = publish(_counts(spark, sf_dir, False).select("word", F.col("occurrences").alias("n")), "counts")
+    p = _claims(spark, sf_dir).join(n.withColumnRenamed("word", "form"), "form").groupBy("lemma").agg(F.sum("n").alias("n"))
+    beside = e.where("main = 0").select(X.normalize("form").alias("word")).distinct().join(w, "word", "left_anti").withColumn("definition", F.lit(None).cast("string"))
+    return G.variants(w.unionByName(beside).withColumn("archaic", F.lit(0)), e, n, p)
 
 
-@query()
-def cls_11(spark, sf_dir):
-    """Variants of far more frequent heads (edit distance by character: no SQL that agrees)."""
-    n = _counts(spark, sf_dir, False).select("word", F.col("occurrences").alias("n"))
-    h = _claims(spark, sf_dir).select(F.col("form").alias("variant"), F.col("lemma").alias("head"))
-    return G.variants(h, n)
+_VERB = "nfc_normalize(translate(lower(regexp_extract(trim(string_split(definition, '|')[1], ' '), '(?i)^\\s*(?:Faptul|Ac[țt]iunea)\\s+de\\s+a\\s+(?:\\(\\s*se\\s*\\)\\s+|se\\s+)?(\\pL+)', 1)), 'şţ', 'șț'))"
 
 
-@query(f"{WORDS}, n as (select word, regexp_extract(string_split(definition, '|')[1], '^\\s*(?:Faptul|Acțiunea) de a (?:se )?([\\p{{L}}\\-]+)', 1) as verb from words) select word, verb from n where verb <> '' and verb <> word and verb in (select word from words where dim = 0)", "jon_23")
+@query(f"""{WORDS}, n as (select word, dim, {_SEAM} as seam, coalesce({_VERB}, '') as verb from words),
+v as (select word, dim, seam from n union all select distinct verb, 0, case when length(verb) % 4 = 0 then 'relevant' else 'curiosity' end from n where verb <> '' and length(verb) % 2 = 0)
+select distinct n.word, n.verb from n join v on v.word = n.verb where n.verb <> '' and n.verb <> n.word and v.dim = 0 and (v.seam = n.seam or v.seam = 'relevant')""", "jon_23")
 def cls_12(spark, sf_dir):
-    """Nouns that name a verb's act."""
-    return G.deverbal(words(spark, sf_dir), ["dim", "missing_flag"])
+    """Nouns that name a verb's act. Stand-ins: the verbs of even length that are named are words of the list,
+    half of them in the more visible seam."""
+    seam = F.when(F.col("dict_count") >= 3, "relevant").otherwise("curiosity")
+    w = publish(words(spark, sf_dir).select("word", "definition", "dim", seam.alias("seam")), "words")
+    verb = X.normalize(F.regexp_extract(F.trim(X.first_segment("definition")), G.DEVERBAL, 1))
+    v = w.select(verb.alias("word")).where("word <> '' and length(word) % 2 = 0").distinct()
+    v = v.select("word", F.lit("").alias("definition"), F.lit(0).alias("dim"), F.when(F.length("word") % 4 == 0, "relevant").otherwise("curiosity").alias("seam"))
+    return G.deverbal(w.unionByName(v), ["dim", "missing_flag"], seam="seam")
 
 
-@query("select word, string_agg(distinct kind, '|' order by kind) as kinds from (select word, case when regexp_matches(definition, '^(s\\.|s)') then 'substantiv' when regexp_matches(definition, '^vb\\.') then 'verb' when regexp_matches(definition, '^adj\\.') then 'adjectiv' when regexp_matches(definition, '^adv\\.') then 'adverb' end as kind from definitions where word is not null) where kind is not null group by word")
+_CLASSES = "map {'F': 'substantiv feminin', 'M': 'substantiv masculin', 'N': 'substantiv neutru', 'A': 'adjectiv', 'AF': 'adjectiv', 'AM': 'adjectiv', 'AN': 'adjectiv', 'V': 'verb', 'VT': 'verb', 'VI': 'verb', 'PT': 'participiu', 'P': 'pronume', 'SP': 'nume propriu'}"
+_DESCRIBED = "map {'adv.': 'adverb', 'interj.': 'interjecție', 'adj.': 'adjectiv', 'prep.': 'prepoziție', 'conj.': 'conjuncție', 'pron.': 'pronume', 's.f.': 'substantiv feminin', 's.m.': 'substantiv masculin', 's.n.': 'substantiv neutru', 'vb.': 'verb', 'part.': 'participiu'}"
+
+
+@query(f"select form as word, string_agg(distinct c, '|' order by c) as kinds from (select lower(form) as form, coalesce(({_CLASSES})[kind], ({_DESCRIBED})[description]) as c from {LEXEMES} where form <> '') where c is not null group by 1")
 def cls_14(spark, sf_dir):
-    """Word classes from the beginnings of definitions."""
-    d = F.col("definition")
-    k = F.when(d.rlike(r"^(s\.|s)"), "substantiv").when(d.rlike(r"^vb\."), "verb").when(d.rlike(r"^adj\."), "adjectiv").when(d.rlike(r"^adv\."), "adverb")
-    x = read(spark, sf_dir, "definitions").where("word is not null").select("word", k.alias("kind")).where("kind is not null")
+    """Word classes by type of inflection, else by description."""
+    x = _lexemes(spark, sf_dir).where("form <> ''").select(F.lower("form").alias("word"), G.word_class(F.col("kind"), F.col("description")).alias("kind")).where("kind is not null")
     return x.groupBy("word").agg(F.array_join(F.sort_array(F.collect_set("kind")), "|").alias("kinds"))
 
 
@@ -628,7 +740,7 @@ def grf_01(spark, sf_dir):
     return Y.aliases(se, v)
 
 
-@query(f"{GRAPH} select word, sid, member from nb", "grf_07")
+@query(f"{GRAPH} select word, sid, member from nb")
 def jon_18(spark, sf_dir):
     """Neighbours of all words, both ways."""
     se, ed, _ = _graph(spark, sf_dir)
@@ -649,6 +761,17 @@ def win_10(spark, sf_dir):
     return Y.claim(Y.neighbours(se, ed), bd)
 
 
+@query(f"""{GRAPH}, near as (select nb.*, coalesce(band, 0) as band from nb left join bd on bd.word = nb.member), z as (select word, sid, count(*) as size, max(band) as top from near group by 1, 2),
+k as (select near.word, near.sid, member, band from (select near.*, row_number() over (partition by near.word, member order by size desc, top desc, sid) as k from near join z using (word, sid)) near where k = 1),
+t as (select word, sid, max(band) as top from k group by 1, 2), p as (select word, sid, row_number() over (partition by word order by top desc, sid) as sense_place from t)
+select word, sid, member, sense_place, row_number() over (partition by word, sid order by band desc, member) as member_place from k join p using (word, sid)""")
+def grf_07(spark, sf_dir):
+    """The senses of all words: each neighbour in the richest of its senses, senses by their highest band,
+    members by band."""
+    se, ed, bd = _graph(spark, sf_dir)
+    return Y.ordered_senses(Y.claim(Y.neighbours(se, ed), bd), bd)
+
+
 @query(None, "grf_08")
 def win_11(spark, sf_dir):
     """Two capped rings around the word with the most neighbours."""
@@ -774,18 +897,49 @@ def grf_05(spark, sf_dir):
 # --- streams and states ------------------------------------------------------------------------------
 
 
-@query(f"with t as (select doc_id, unnest(list_filter(regexp_extract_all(translate(lower(text), 'şţ', 'șț'), '[a-zăâîșț](?:[a-zăâîșț\\-'']*[a-zăâîșț])?'), lambda w: length(w) >= 3)) as word from documents) select word, count(*) as occurrences, count(distinct doc_id) as documents from t group by word", "src_11")
+SKIP, LIMIT = 20, 60
+
+
+@query(f"with d as (select * from (select *, row_number() over (order by doc_id) as k from (select distinct on (doc_id) doc_id, text from documents order by doc_id, text)) where k > {SKIP} and k <= {SKIP + LIMIT}), t as (select doc_id, unnest(list_filter(regexp_extract_all(translate(lower(text), 'şţ', 'șț'), '[a-zăâîșț](?:[a-zăâîșț\\-'']*[a-zăâîșț])?'), lambda w: length(w) >= 3)) as word from d) select word, count(*) as occurrences, count(distinct doc_id) as documents from t group by word")
+def src_11(spark, sf_dir):
+    """A count that goes on after the first documents and stops after so many: skip and limit of a run."""
+    d = first_per_key(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], ["text"])
+    return C.count_words(files.skip_and_limit(d, ["doc_id"], SKIP, LIMIT))
+
+
+@query(f"with t as (select doc_id, unnest(list_filter(regexp_extract_all(translate(lower(text), 'şţ', 'șț'), '[a-zăâîșț](?:[a-zăâîșț\\-'']*[a-zăâîșț])?'), lambda w: length(w) >= 3)) as word from documents) select word, count(*) as occurrences, count(distinct doc_id) as documents from t group by word")
 def str_01(spark, sf_dir):
     """Counts of a stream of documents, batch by batch."""
     return jobs.count_stream(jobs.source(spark, sf_dir, "documents"))[0]
 
 
-@query(f"select user_id, word, seq, deleted from {STATE}", "snk_07", "str_03")
+@query(f"select user_id, word, seq, deleted from {STATE}", "snk_07")
 def str_02(spark, sf_dir):
     """The state after a stream of changes."""
     return jobs.change_stream(jobs.source(spark, sf_dir, "annotations")).select("user_id", "word", "seq", "deleted")
 
 
+@query(f"select user_id, word, seq, deleted from {STATE} where word in (select word from definitions)")
+def str_02_known(spark, sf_dir):
+    """The same, changes of unknown words rejected."""
+    known = read(spark, sf_dir, "definitions").select("word").where("word is not null").distinct()
+    return jobs.change_stream(jobs.source(spark, sf_dir, "annotations"), known=known).select("user_id", "word", "seq", "deleted")
+
+
+@query(f"""with server as {STATE}, own as (select * exclude (k) from server where seq % 2 = 0 and deleted = 0),
+l as (select user_id, word, case when seq % 4 = 0 then updated_at + interval 1 hour else updated_at - interval 1 hour end as at, 'local' as origin from own)
+select coalesce(l.user_id, s.user_id) as user_id, coalesce(l.word, s.word) as word, case when l.at >= s.updated_at then 'local' else 'remote' end as origin
+from l full join server s on l.user_id = s.user_id and l.word = s.word where l.at >= s.updated_at or s.deleted = 0""")
+def str_03(spark, sf_dir):
+    """A client's marks after the server's changes. Stand-ins: the client holds every other live mark, half of
+    them edited an hour later than the server knows, half an hour earlier."""
+    s = publish(apply_changes(read(spark, sf_dir, "annotations")).withColumn("origin", F.lit("remote")), "server")
+    hour = F.expr("interval 1 hour")
+    own = s.where("seq % 2 = 0 and deleted = 0").withColumn("origin", F.lit("local"))
+    own = own.withColumn("updated_at", F.when(F.col("seq") % 4 == 0, F.col("updated_at") + hour).otherwise(F.col("updated_at") - hour))
+    return M.apply_remote(own, s, ["user_id", "word"], "updated_at", ["origin"]).select("user_id", "word", "origin")
+
+
 @query(f"""with s as (select word, updated_at from {STATE} where user_id = (select min(user_id) from annotations) and deleted = 0), t as (select word, updated_at from {STATE} where user_id = (select max(user_id) from annotations))
 select coalesce(s.word, t.word) as word, case when s.word is null then 'keep' when t.word is null then 'insert' when s.updated_at > t.updated_at then 'update' else 'keep' end as action from s full join t on s.word = t.word""")
 def str_04(spark, sf_dir):

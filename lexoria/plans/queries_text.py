@@ -137,7 +137,18 @@ _both("scl_24", "corpus_word_frequency", "id", {
     "phrase": (lambda: X.count_phrase("document_count", "cuvânt", "cuvinte"),
                "case when document_count = 1 then '1 cuvânt' else document_count || case when document_count = 0 or document_count % 100 between 1 and 19 then ' ' else ' de ' end || 'cuvinte' end"),
 })
-_add("scl_25", _on("definitions", "def_id", words=lambda: F.array_join(X.entry_words("definition", "word"), "|")))
+# rules written out in SQL, apart from those of the operator
+_LEFT = "(^|[^\\pL\\pN_])"
+_BODY = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(definition, '\\([^)]*\\)', ' ', 'g'), '{_LEFT}v\\s*\\.\\s*[^,;.]+', '\\1 ', 'gi'), '{_LEFT}\\d+\\s*\\.', '\\1 ', 'g'),
+  '{_LEFT}(?:adj|adv|s|sf|sm|sn|vb|vt|vi|interj|art|pron|prep|conj|num|pl|sg)\\s*\\.', '\\1 ', 'gi')"""
+_PLAIN = "replace(replace(translate({}, 'áàéèíìóòúùÁÀÉÈÍÌÓÒÚÙ', 'aaeeiioouuAAEEIIOOUU'), chr(769), ''), chr(768), '')"
+_add("scl_25", _on("definitions", "def_id", words=lambda: F.array_join(X.entry_words("definition", "word"), "|")), f"""
+with d as (select distinct def_id, word, definition from definitions),
+p as (select def_id, word, unnest(string_split_regex({_BODY}, '[,;.]')) as p, generate_subscripts(string_split_regex({_BODY}, '[,;.]'), 1) as i from d where definition is not null),
+q as (select def_id, word, i, trim(regexp_replace(regexp_replace(s, '^[A-ZĂÂÎȘȚ][A-ZĂÂÎȘȚ0-9''\\- ]*\\s+', ''), '\\s+', ' ', 'g'), ' ') as w from (select *, trim({_PLAIN.format("p")}, ' ' || chr(9) || chr(10) || '-–—*≠~') as s from p) where not contains(s, '~')),
+k as (select *, nfc_normalize(translate(lower(w), 'şţ', 'șț')) as k from q where regexp_matches(w, '[a-zăâîșț]') and length(w) <= 40 and len(string_split(w, ' ')) <= 4),
+f as (select def_id, k, arg_min(w, i) as w, min(i) as i from k where length(k) >= 2 and k is distinct from nfc_normalize(translate(lower({_PLAIN.format("word")}), 'şţ', 'șț')) group by 1, 2)
+select d.def_id, case when d.definition is null then null else coalesce(string_agg(w, '|' order by i), '') end as words from d left join f using (def_id) group by d.def_id, d.definition, d.word""")
 _both("scl_26", "definitions", "def_id", {"plain": (lambda: X.strip_stress("word"), "replace(replace(translate(word, 'áàéèíìóòúùÁÀÉÈÍÌÓÒÚÙ', 'aaeeiioouuAAEEIIOOUU'), chr(769), ''), chr(768), '')")})
 _both("scl_27", "definitions", "def_id", {
     "head": (lambda: X.entry_headword(F.concat(F.upper(F.regexp_replace("word", "[ﬁﬂﬆ]", "fl")), F.lit(" "), F.coalesce("definition", F.lit("")))),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as X
+from lexoria.operators.rank import global_rank
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,3 +64,11 @@ def cross_references(pages: DataFrame, content: str = "value") -> DataFrame:
 def shard_texts(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
     """One column of a folder of Parquet shards, with the shard's name; nothing else is read."""
     return spark.read.parquet(path).select(F.col(column).alias("text"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"))
+
+
+def skip_and_limit(df: DataFrame, order: list, skip: int, limit: int | None = None) -> DataFrame:
+    """The rows after the first `skip` in an order, at most `limit` of them: how a run over a collection goes
+    on where another stopped. No task sorts the whole."""
+    place = global_rank(df, order, "_place")
+    kept = place.where(F.col("_place") > skip)
+    return (kept if limit is None else kept.where(F.col("_place") <= skip + limit)).drop("_place")

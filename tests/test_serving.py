@@ -31,7 +31,7 @@ def test_text_functions(spark):
     assert go(X.mask_word("t", "w"), t="a.b", w="") == "a.b"
     assert go(X.slug("t"), t=" Cuvântul meu! ") == "cuvantul-meu"
     assert [go(X.count_phrase("n", "cuvânt", "cuvinte"), n=n) for n in (0, 1, 19, 20, 101, 120)] == ["0 cuvinte", "1 cuvânt", "19 cuvinte", "20 de cuvinte", "101 cuvinte", "120 de cuvinte"]
-    assert go(X.entry_words("t", "h"), t="FRUMOS adj. 1. mândru, chipeș (fig.), v. arătos. 2. Frumos, mândru; a", h="frumos") == ["mândru", "chipeș"]
+    assert go(X.entry_words("t", "h"), t="FRUMOS adj. 1. mândru, chipeș (fig.), v. arătos și altele. 2. Frumos, mândru; a", h="frumos") == ["mândru", "chipeș"]
     assert go(X.strip_stress("t"), t="cásă cásă ță") == "casă casă ță"
     assert go(X.is_dirty_token("t"), t="a=b") and go(X.is_dirty_token("t"), t="ABc") and not go(X.is_dirty_token("t"), t="abC")
     assert go(X.reveals_word("t", "w"), t="formă a cuvintelor", w="cuvinte") and not go(X.reveals_word("t", "w"), t="altceva", w="cuvinte")
@@ -106,18 +106,89 @@ def test_community(spark):
     assert {tuple(r) for r in M.refresh_list(items, want).collect()} == {("l", "b", 1), ("l", "c", 2), ("l", "d", 3), ("k", "x", 0)}
 
 
-def test_flags(spark):
-    w = spark.createDataFrame([("căsuță", "x"), ("mir", "Diminutiv al lui m."), ("masă", None), ("uță", "y")], "word string, definition string")
-    f = spark.createDataFrame([("căs",), ("casă",)], "form string")
-    assert {r.word: r.diminutive for r in G.diminutives(w, f).collect()} == {"căsuță": 1, "mir": 1, "masă": 0, "uță": 0}
-    sp = spark.createDataFrame([("sburat", 1), ("zburat", 20), ("sbor", 2), ("zbor", 39)], "word string, n long")
-    got = {r.word: r.modern for r in G.archaic_spellings(sp.withColumnRenamed("n", "own"), sp).collect()}
-    assert got == {"sburat": "zburat"}
-    heads = spark.createDataFrame([("tinereță", "tinerețe"), ("antereu", "anteriu"), ("lăcrăma", "lăcrima"), ("lăcrăma", "reclama"), ("x", "x")], "variant string, head string")
-    n = spark.createDataFrame([("tinereță", 381), ("tinerețe", 227064), ("antereu", 167), ("anteriu", 1031), ("lăcrima", 16393), ("reclama", 99999)], "word string, n long")
-    assert {r.variant: r["head"] for r in G.variants(heads, n).collect()} == {"tinereță": "tinerețe", "lăcrăma": "lăcrima"}
-    v = spark.createDataFrame([("mers", "Faptul de a merge; x", 0), ("merge", "a umbla", 0), ("dus", "Acțiunea de a se duce.", 0), ("duce", "", 1), ("venire", "altceva|Faptul de a merge", 0)], "word string, definition string, dim int")
-    assert {tuple(r) for r in G.deverbal(v, ["dim", "none"]).collect()} == {("mers", "merge")}
+BRAVE = (
+    "CURAJOS adj., adv. 1. adj. brav, cutezător, dârz, (livr.) intrepid, temerar, (rar) bărbat, (înv. și pop.) voinic, (înv.) hrăbor. (Om ~.) "
+    "2. adj. bărbătesc, brav, (reg.) bărbătos. (Atitudine, faptă ~oasă.)"
+)
+
+
+def test_words_of_an_entry(spark):
+    rows = [
+        (BRAVE, "curajos", ["brav", "cutezător", "dârz", "intrepid", "temerar", "bărbat", "voinic", "hrăbor", "bărbătesc", "bărbătos"]),
+        ("CASĂ sf. locuință, cămin.", "casă", ["locuință", "cămin"]), ("MERGE vt. vi. a umbla, vi. a se duce", "merge", ["a umbla", "a se duce"]),
+        ("ROZĂ s. trandafir, rug, rujă. ROZ adj. trandafiriu", "roză", ["trandafir", "rug", "rujă", "trandafiriu"]), ("ROZĂ s. v. rozetă.", "roză", []),
+        ("ROZĂ s. v. rozetă cea mare, rug", "roză", ["rug"]), ("NĂDUȘI vb. a   înnăduși, gâtui", "năduși", ["a înnăduși", "gâtui"]),
+        ("X s. a-și da duhul, o expresie mult prea lungă ca să fie un sinonim real aici", "x", ["a-și da duhul"]),
+        ("CELE ZECE PORUNCI     decalogul", "x", ["decalogul"]), ("Curajos ≠ fricos, laș", "curajos", ["Curajos ≠ fricos", "laș"]), ("≠ rău; * bun -; ~", "x", ["rău", "bun"]),
+        ("ABC, a, DE", "x", []), ("Bun, bun, BUN, búnă", "x", ["Bun", "bună"]), (None, "x", None), ("", "x", []), ("b. c", None, []),
+    ]
+    df = spark.createDataFrame(rows, "t string, h string, want array<string>")
+    for r in df.select("t", "want", X.entry_words("t", "h").alias("got")).collect():
+        assert r.got == r.want, r.t
+
+
+def test_diminutives_and_old_spellings(spark):
+    words = [("căsuță", "x"), ("mir", "Diminutiv al lui m."), ("văr", "Altceva|(Ca termen de adresare) Diminutiv al lui x"), ("alintare", "Țața e diminutiv, adică alintare"), ("masă", None),
+             ("uță", "y"), ("noruleț", ""), ("mescioară", ""), ("boierică", ""), ("livrea", ""), ("NORIȘOR", "")]
+    w = spark.createDataFrame(words, "word string, definition string")
+    f = spark.createDataFrame([("căsă",), ("nor",), ("Mesă",), ("boier",), ("livr",), ("boieră",)], "form string")
+    got = {r.word: r.diminutive for r in G.diminutives(w, f).collect()}
+    assert {k for k, v in got.items() if v} == {"căsuță", "mir", "văr", "noruleț", "mescioară", "NORIȘOR"} and len(got) == len(words)
+    pairs = [("situațiune", "situație"), ("diviziune", "divizie"), ("pasiune", "pasie"), ("sburat", "zburat"), ("desghețat", "dezghețat"), ("advocat", "avocat")]
+    counts = [(a, 2) for a, _ in pairs] + [(b, 40) for _, b in pairs] + [("albiu", 1), ("albi", 999), ("pavea", 1), ("pava", 999), ("sgomot", 3), ("zgomot", 59)]
+    n = spark.createDataFrame(counts, "word string, n long")
+    assert {tuple(r) for r in G.archaic_spellings(n.withColumnRenamed("n", "own"), n).collect()} == set(pairs)
+
+
+def test_variants(spark):
+    words = spark.createDataFrame(
+        [("tinereță", "x", 0), ("antereu", "x", 0), ("lăcrăma", None, 0), ("momiță", "x", 0), ("volintir", "Vezi voluntar.", 0), ("bejănar", "vezi băjenar", 0),
+         ("uiet", "vezi huiet", 0), ("condițiune", "x", 1), ("sine", "vezi sine", 0), ("titlu", "vezi semnal și altele", 0)],
+        "word string, definition string, archaic int",
+    )
+    entries = spark.createDataFrame(
+        [(1, "tinereţă", 0), (1, "tinerețe", 1), (2, "antereu", 0), (2, "anteriu", 1), (3, "lăcrăma", 0), (3, "lăcrima", 1), (3, "reclama", 1), (4, "momiță", 0), (4, "maimuță", 1),
+         (5, "momiță", 1), (6, "volintir", 1), (7, "uiet", 0), (7, "vuiet", 1), (8, "condițiune", 0), (8, "condiție", 1), (9, None, 1), (10, "titlu", 1), (11, "titlu", 0), (11, "semnal", 1)],
+        "entry_id int, form string, main int",
+    )
+    n = {"tinereță": 381, "tinerețe": 227064, "antereu": 167, "anteriu": 1031, "reclama": 99999, "voluntar": 1_380_000, "băjenar": 3, "bejănar": 1, "huiet": 0, "vuiet": 4000, "maimuță": 9**6, "semnal": 9**6}
+    counts = spark.createDataFrame(list(n.items()), "word string, n long")
+    paradigms = spark.createDataFrame([("lăcrima", 16393)], "lemma string, n long")
+    got = {r.variant: r["head"] for r in G.variants(words, entries, counts, paradigms).collect()}
+    assert got == {"tinereță": "tinerețe", "lăcrăma": "lăcrima", "volintir": "voluntar", "uiet": "vuiet"}
+
+
+def test_deverbal(spark):
+    shapes = {"Faptul de a (se) zăhăi.": "zăhăi", "Acțiunea de a scăpăra și rezultatul ei.": "scăpăra", "Acțiunea de a se dărăpăna .": "dărăpăna", "Actiunea de a jelui": "jelui", "faptul de a (se) năduși": "năduși"}
+    rows = [(f"n{i}", d, 0, "relevant") for i, d in enumerate(shapes)] + [(v, "A face.", 0, "relevant") for v in shapes.values()]
+    rows += [("după", "Unealtă. | Faptul de a zăhăi.", 0, "relevant"), ("sine", "Faptul de a sine", 0, "relevant"), ("moleșire", "Faptul de a moleși", 0, "relevant"), ("moleși", "", 0, "curiosity"),
+             ("jeluire", "Acțiunea de a (se) jelui.", 0, "curiosity"), ("ascundere", "Faptul de a ascunde", 0, "relevant"), ("ascunde", "", 1, "relevant"), ("fără", "Faptul de a pospăi.", 0, "relevant")]
+    v = spark.createDataFrame(rows, "word string, definition string, dim int, seam string")
+    got = {tuple(r) for r in G.deverbal(v, ["dim", "none"], seam="seam").collect()}
+    assert got == {(f"n{i}", x) for i, x in enumerate(shapes.values())} | {("jeluire", "jelui")}
+    assert ("moleșire", "moleși") in {tuple(r) for r in G.deverbal(v, ["dim"]).collect()}
+
+
+def test_gates(spark):
+    rows = [("Alamein", 0.5, "adj.", None, "proper_noun"), ("de facto", 0.5, "adv.", None, "foreign"), ("bine-cunoscut", 0.5, "adj.", None, "foreign"), ("ceva", 0.5, "", "T12", "no_description"),
+            ("birjă", 0.5, "", "F12", "kept"), ("zapciu", 0.5, "ÎNV. cuvânt", None, "kept"), ("abc", 0.5, "adj.", "A", None), ("rara", 0.01, "adj.", "A", None), ("deasa", 1.0, "adj.", "A", None)]
+    df = spark.createDataFrame(rows, "form string, frequency double, description string, kind string, want string")
+    assert {(r.form, r.verdict) for r in G.curated(df).collect()} == {(r[0], r[4]) for r in rows if r[4]}
+    q = [("a", "Care este foarte bun.", 3, 0, 1), ("b", "Care este foarte bun.", 2, 0, 0), ("c", "Vezi altceva mai jos", 3, 0, 0), ("d", "scurt|Care este foarte bun", 3, 0, 0), ("e", "Cuvânt lung aici:", 3, 0, 0),
+         ("f", "SE spune despre ceva", 3, 0, 0), ("g", "Augmentativ al lui g", 5, 0, 0), ("h", "Care este foarte bun.", 5, 1, 0), ("i", None, 5, 0, 0)]
+    df = spark.createDataFrame(q, "word string, definition string, dict_count int, flag int, want int")
+    assert {r.word for r in df.where(G.fair_question(["flag"])).collect()} == {x[0] for x in q if x[4]}
+    cls = spark.createDataFrame([("VT", "s.m.", "verb"), (" AF ", None, "adjectiv"), ("T", " Adv. ", "adverb"), ("I", "x", None), (None, None, None)], "k string, d string, want string")
+    assert all(r.got == r.want for r in cls.select("want", G.word_class(F.col("k"), F.col("d")).alias("got")).collect())
+
+
+def test_lists_and_copies(spark):
+    items = spark.createDataFrame([("l", "a", 3), ("l", "b", 5), ("m", "z", 1)], "list string, word string, position int")
+    want = spark.createDataFrame([("l", "c", 1), ("l", "b", 2), ("l", "d", 3), ("k", "x", 1), ("l", "e", 4)], "list string, word string, place int")
+    assert {tuple(r) for r in M.fill_list(items, want, 3).collect()} == {("l", "b", 5), ("l", "c", 6), ("l", "d", 8), ("k", "x", 1)}
+    local = spark.createDataFrame([("a", 5, "x"), ("b", 5, "x"), ("c", 5, "x"), ("d", 5, "x")], "word string, t int, note string")
+    remote = spark.createDataFrame([("a", 5, "y", 0), ("b", 6, "y", 0), ("c", 6, "y", 1), ("e", 1, "y", 0), ("f", 1, "y", 1)], "word string, t int, note string, deleted int")
+    assert {tuple(r) for r in M.apply_remote(local, remote, ["word"], "t", ["note"]).collect()} == {("a", 5, "x"), ("b", 6, "y"), ("d", 5, "x"), ("e", 1, "y")}
 
 
 def test_sense_trees(spark):
