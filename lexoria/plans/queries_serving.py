@@ -211,13 +211,14 @@ def flt_26(spark, sf_dir):
     return words(spark, sf_dir).where("occ >= 100").join(f, "word", "left_anti").select("word")
 
 
-@query("with todo as (select lemma as word, min(form_id) as o from form_lemma where lemma is not null group by 1) select word, o from todo where word not in (select word from definitions where word is not null and source_id % 3 = 0) and word not in (select word from annotations where word is not null and bookmarked = 1) order by o limit 50")
+@query("with todo as (select lemma as word, min(form_id) as o from form_lemma where lemma is not null group by 1) select word, o from todo where word not in (select word from definitions where word is not null and source_id = 5) and word not in (select word from annotations where word is not null and user_id % 5 = 0 and deleted = 1) order by o limit 50")
 def flt_27(spark, sf_dir):
-    """What is left to do, less what is done and what was tried, in order; the first 50. Stand-ins: articles
-    of every third edition are done, bookmarked words were tried."""
+    """What is left to do, less what is done and what was tried, in order; the first 50. Stand-ins: words of
+    one edition are done, what every fifth user deleted was tried."""
     f, d, a = read(spark, sf_dir, "form_lemma", "definitions", "annotations")
     todo = f.where("lemma is not null").groupBy(F.col("lemma").alias("word")).agg(F.min("form_id").alias("o"))
-    return todo.join(d.where("source_id % 3 = 0"), "word", "left_anti").join(a.where("bookmarked = 1"), "word", "left_anti").select("word", "o").orderBy("o").limit(50)
+    tried = a.where("user_id % 5 = 0 and deleted = 1")
+    return todo.join(d.where("source_id = 5"), "word", "left_anti").join(tried, "word", "left_anti").select("word", "o").orderBy("o").limit(50)
 
 
 _HOST = "'https://' || case source_id when 1 then 'www.exemplu.ro' when 2 then 'altexemplu.ro' else 'exemplu.ro' end || '/x?y=1'"
@@ -772,7 +773,27 @@ def grf_07(spark, sf_dir):
     return Y.ordered_senses(Y.claim(Y.neighbours(se, ed), bd), bd)
 
 
-@query(None, "grf_08")
+_RING = """
+near as (select nb.*, coalesce(band, 0) as band from nb left join bd on bd.word = nb.member), z as (select word, sid, count(*) as size, max(band) as top from near group by 1, 2),
+cl as (select word, sid, member, band from (select near.*, row_number() over (partition by near.word, member order by size desc, top desc, sid) as k from near join z using (word, sid)) where k = 1),
+centre as (select word from nb group by word order by count(*) desc, word limit 1),
+f as (select *, row_number() over (partition by sid order by band desc, member) as nth, count(*) over (partition by sid) as n, max(band) over (partition by sid) as top from cl where word = (select word from centre)),
+so as (select sid, row_number() over (order by n desc, top desc, sid) as place from (select distinct sid, n, top from f)),
+r1 as (select row_number() over (order by place, nth) as i, member from f join so using (sid) where place <= 4 and nth <= 6 order by place, nth limit 12),
+n2 as (select r1.i, r1.member as parent, c.member, row_number() over (partition by r1.i order by c.band desc, c.member) as nth from r1 join cl c on c.word = r1.member
+  where c.member not in (select member from r1) and c.member <> (select word from centre)),
+cut as (select i, parent, member, nth from n2 where nth <= 28),
+fold(i, nth, used, ring, got) as (
+  select 0, 0, []::varchar[], []::varchar[], 0
+  union all
+  select x.i, x.nth, case when x.take then list_append(used, x.member) else used end, case when x.take then list_append(ring, x.parent || chr(9) || x.member) else ring end, x.got + cast(x.take as int)
+  from (select c.i, c.nth, c.parent, c.member, used, ring, case when c.i = fold.i then got else 0 end as got,
+          (case when c.i = fold.i then got else 0 end) < 4 and len(ring) < 24 and not list_contains(used, c.member) as take
+        from fold join (select *, row_number() over (order by i, nth) as k from cut) c on c.k = coalesce((select k from (select *, row_number() over (order by i, nth) as k from cut) d where d.i = fold.i and d.nth = fold.nth), 0) + 1) x)
+"""
+
+
+@query(f"{GRAPH.replace('with ', 'with recursive ', 1) if 'recursive' not in GRAPH else GRAPH}, {_RING} select 1 as ring, (select word from centre) as parent, member as word from r1 union all select 2, split_part(x, chr(9), 1), split_part(x, chr(9), 2) from (select unnest(ring) as x from fold where len(ring) = (select max(len(ring)) from fold) order by i desc, nth desc limit 1000) group by all", "grf_08")
 def win_11(spark, sf_dir):
     """Two capped rings around the word with the most neighbours."""
     se, ed, bd = (publish(x, "graph") for x in _graph(spark, sf_dir))

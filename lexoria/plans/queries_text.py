@@ -59,7 +59,11 @@ _both("scl_08", "definitions", "def_id", {
     "target": (lambda: X.pointer_target(F.expr("concat(' vezi ', word, '. ')")), f"nullif({NORM.format(r'''regexp_extract(' vezi ' || word || '. ', '^\s*vezi\s+([^\s,;.]+)\s*\.?\s*$', 1)''')}, '')"),
     "none": (lambda: X.pointer_target("definition"), f"nullif({NORM.format(r'''regexp_extract(definition, '^\s*vezi\s+([^\s,;.]+)\s*\.?\s*$', 1)''')}, '')"),
 })
-_add("scl_09", _on("form_lemma", "form_id", distance=lambda: F.levenshtein("form", "lemma")))
+# DuckDB measures bytes: the characters of a pair that take several are changed for single ones first
+_SINGLE = "translate({}, odd, array_to_string(list_transform(range(1, 32), lambda x: chr(cast(x as int))), ''))"
+_add("scl_09", _on("form_lemma", "form_id", distance=lambda: F.levenshtein("form", "lemma")), f"""
+select distinct form_id, cast(levenshtein({_SINGLE.format("form")}, {_SINGLE.format("lemma")}) as int) as distance
+from (select form_id, form, lemma, array_to_string(list_distinct(regexp_extract_all(form || lemma, '[^\\x00-\\x7F]')), '') as odd from form_lemma)""")
 _both("scl_10", "meanings", "meaning_id", {
     "crumb": (lambda: F.array_join(F.transform(X.crumb_key("breadcrumb"), lambda x: x.cast("string")), ","), r"array_to_string(list_transform(regexp_extract_all(coalesce(breadcrumb, ''), '\d+'), lambda x: cast(x as bigint)), ',')"),
 })
