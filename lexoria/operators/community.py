@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexoria.operators.rank import previous, running_sum
+from lexoria.operators.rank import global_rank, previous, running_sum
 
 
 def _has(tag: str) -> Column:
@@ -67,8 +67,7 @@ def refresh_list(items: DataFrame, wanted: DataFrame, cap: int = 1000) -> DataFr
     kept = items.join(wanted, ["list", "word"], "left_semi")
     top = items.groupBy("list").agg(F.max("position").alias("_top"))
     new = wanted.join(items, ["list", "word"], "left_anti").select("list", "word").distinct()
-    w = Window.partitionBy("list").orderBy("word")
-    added = new.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).join(top, "list", "left")
+    added = global_rank(new, ["word"], "_n", ["list"]).where(F.col("_n") <= cap).join(top, "list", "left")
     added = added.select("list", "word", (F.coalesce("_top", F.lit(-1)) + F.col("_n")).cast("int").alias("position"))
     return kept.select("list", "word", F.col("position").cast("int").alias("position")).unionByName(added).where(F.col("position") < cap)
 

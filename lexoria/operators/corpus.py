@@ -89,13 +89,15 @@ def merge_panel(counts: DataFrame, corpora: list[str], key: str = "lemma") -> Da
 def co_claimants(claims: DataFrame, counts: DataFrame) -> DataFrame:
     """(lemma, other): the most frequent other lemma that shares a form; of equals the first by name.
 
-    Pairs meet on a form that a few lemmas claim; forms that one lemma alone claims are left out first.
+    A form hands on its first two claimants only: the other one of a lemma is the first of them, or the
+    second if it is the first itself. So lemmas of a form are never paired.
     """
-    shared = claims.where("n_lemmas > 1")
-    pairs = shared.select("form", "lemma").join(shared.select("form", F.col("lemma").alias("other")), "form").where("lemma <> other")
-    w = counts.select(F.col("word").alias("other"), "occurrences")
-    best = F.min_by("other", F.struct(-F.coalesce("occurrences", F.lit(0)), "other"))
-    return pairs.select("lemma", "other").distinct().join(w, "other", "left").groupBy("lemma").agg(best.alias("other"))
+    own = counts.select(F.col("word").alias("lemma"), "occurrences")
+    c = claims.where("n_lemmas > 1").select("form", "lemma").join(own, "lemma", "left").select("form", F.struct((-F.coalesce("occurrences", F.lit(0))).alias("n"), F.col("lemma").alias("lemma")).alias("k"))
+    c = c.join(c.groupBy("form").agg(F.min("k").alias("a")), "form")
+    c = c.join(c.where("k <> a").groupBy("form").agg(F.min("k").alias("b")), "form")
+    best = c.select(F.col("k.lemma").alias("lemma"), F.when(F.col("k") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("o"))
+    return best.groupBy("lemma").agg(F.min("o").alias("o")).select("lemma", F.col("o.lemma").alias("other"))
 
 
 def best_runs(runs: DataFrame) -> DataFrame:
@@ -132,20 +134,33 @@ def quality_checks(counts: DataFrame, runs: DataFrame, expected: list[str], rati
 # --- classification: ladders of conditions -----------------------------------------------------------
 
 
+# Where the bins of rarity begin and end, and those of candidates; the verdicts' thresholds.
+RARITY = [(0.30, "very_rare"), (0.50, "rare"), (0.60, "uncommon")]
+RARITY_OF_CANDIDATES = [(0.30, "very_rare"), (0.50, "rare")]
+MODERN_RARE, MODERN_ALIVE, ATTESTED, ATTESTED_DOCUMENTS, EMERGING = 500, 2000, 3, 2, -0.15
+
+
+def _binned(c: Column, steps: list[tuple[float, str]], rest: str, none: Column) -> Column:
+    out = F.when(none, None)
+    for ceiling, name in steps:
+        out = out.when(c < ceiling, name)
+    return out.when(c.isNotNull(), rest)
+
+
 def rarity(c: Column) -> Column:
     """Five bins by frequency in a dictionary: none at 0.01 or less, then below 0.3, 0.5 and 0.6."""
-    return F.when(c <= 0.01, None).when(c < 0.30, "very_rare").when(c < 0.50, "rare").when(c < 0.60, "uncommon").when(c.isNotNull(), "standard")
+    return _binned(c, RARITY, "standard", c <= 0.01)
 
 
 def rarity_of_candidates(c: Column) -> Column:
-    return F.when(c < 0.30, "very_rare").when(c < 0.50, "rare").when(c.isNotNull(), "uncommon")
+    return _binned(c, RARITY_OF_CANDIDATES, "uncommon", F.lit(False))
 
 
-def verdict(hist: Column, hist_docs: Column, modern: Column, shift: Column, rare: int = 500, alive: int = 2000) -> Column:
+def verdict(hist: Column, hist_docs: Column, modern: Column, shift: Column, rare: int = MODERN_RARE, alive: int = MODERN_ALIVE) -> Column:
     """How a word fares between a historical and a modern panel."""
-    attested = (hist >= 3) & (hist_docs >= 2)
+    attested = (hist >= ATTESTED) & (hist_docs >= ATTESTED_DOCUMENTS)
     return (
-        F.when((modern >= alive) & (shift <= -0.15), "emerging").when(modern >= alive, "alive").when(~attested, "absent")
+        F.when((modern >= alive) & (shift <= EMERGING), "emerging").when(modern >= alive, "alive").when(~attested, "absent")
         .when(modern == 0, "extinct").when(modern < rare, "historical_only").otherwise("declining")
     )
 
@@ -176,7 +191,7 @@ def band(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit(0)) <= 0, 0).otherwise(F.least(F.lit(7), F.length(c.cast("long").cast("string"))))
 
 
-def modern_band(c: Column, rare: int = 500) -> Column:
+def modern_band(c: Column, rare: int = MODERN_RARE) -> Column:
     return F.when(c.isNull(), None).when(c == 0, 0).when(c < rare, 1).otherwise(2)
 
 

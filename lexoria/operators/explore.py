@@ -120,10 +120,16 @@ def by_marks(df: DataFrame, marks: DataFrame, kind: str, user: int) -> DataFrame
     return df.join(words, "word", "left_anti" if kind == "unmarked" else "left_semi")
 
 
+# Points of a number of votes up to each step, and beyond the last.
+VOTE_STEPS, MOST_POINTS = [(0, 0), (1, 3), (2, 4), (4, 6), (8, 8), (16, 10), (32, 12), (64, 15)], 18
+
+
 def vote_points(votes: Column) -> Column:
     """Points of a number of votes: steps that widen, with the votes' sign."""
-    a = F.abs(votes)
-    steps = F.when(a == 0, 0).when(a == 1, 3).when(a == 2, 4).when(a <= 4, 6).when(a <= 8, 8).when(a <= 16, 10).when(a <= 32, 12).when(a <= 64, 15).otherwise(18)
+    a, steps = F.abs(votes), None
+    for most, points in VOTE_STEPS:
+        steps = F.when(a <= most, points) if steps is None else steps.when(a <= most, points)
+    steps = steps.otherwise(MOST_POINTS)
     return F.when(votes < 0, -steps).otherwise(steps)
 
 

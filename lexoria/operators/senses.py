@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as X
+from lexoria.operators.rank import global_rank
 from lexoria.plans.runtime import publish
 
 SENSE, ETYMOLOGY, CITATION, COMMENT, COMPOUND, EXPRESSION = range(6)
@@ -20,8 +21,9 @@ def units(nodes: DataFrame) -> DataFrame:
     shown = nodes.where(F.col("type").isin(SENSE, COMPOUND, EXPRESSION) & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
     rank = F.when(F.col("type") == SENSE, 0).otherwise(1)
     crumb = F.when(F.col("type") == SENSE, X.crumb_key("breadcrumb")).otherwise(F.array().cast("array<bigint>"))
-    w = Window.partitionBy("tree_id").orderBy(rank, crumb, F.coalesce("display_order", F.lit(0)), "meaning_id")
-    return shown.select("tree_id", "meaning_id", "word", "text", "type", (F.row_number().over(w) - 1).alias("ord"))
+    keyed = shown.select("tree_id", "meaning_id", "word", "text", "type", rank.alias("_r"), crumb.alias("_c"), F.coalesce("display_order", F.lit(0)).alias("_d"))
+    placed = global_rank(keyed, ["_r", "_c", "_d", "meaning_id"], "ord", ["tree_id"])
+    return placed.select("tree_id", "meaning_id", "word", "text", "type", (F.col("ord") - 1).alias("ord"))
 
 
 def attach(tree: DataFrame, shown: DataFrame, hung: DataFrame) -> DataFrame:
@@ -37,8 +39,8 @@ def attach(tree: DataFrame, shown: DataFrame, hung: DataFrame) -> DataFrame:
 
 def merge_homonyms(u: DataFrame) -> DataFrame:
     """(word, meaning_id, ord): units of all trees of a word in one numbering, tree after tree."""
-    w = Window.partitionBy("word").orderBy("tree_id", "ord")
-    return u.where("word is not null").select("word", "meaning_id", (F.row_number().over(w) - 1).alias("ord"))
+    rows = u.where("word is not null").select("word", "meaning_id", "tree_id", F.col("ord").alias("_o"))
+    return global_rank(rows, ["tree_id", "_o", "meaning_id"], "ord", ["word"]).select("word", "meaning_id", (F.col("ord") - 1).alias("ord"))
 
 
 def render(u: DataFrame, citations: DataFrame) -> DataFrame:

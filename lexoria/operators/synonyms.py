@@ -30,8 +30,7 @@ def expand_trees(tree_entries: DataFrame, entry_lexemes: DataFrame) -> DataFrame
     lexeme_rank, main."""
     rows = tree_entries.join(entry_lexemes.where("main = 1 and word <> ''"), "entry_id")
     first = rows.groupBy("tree_id", "word").agg(F.min(F.struct("entry_rank", "entry_id", "lexeme_rank")).alias("at"))
-    w = Window.partitionBy("tree_id").orderBy("at", "word")
-    return first.select("tree_id", "word", (F.row_number().over(w) - 1).alias("position"))
+    return global_rank(first, ["at", "word"], "position", ["tree_id"]).select("tree_id", "word", (F.col("position") - 1).alias("position"))
 
 
 def tree_synonyms(meanings: DataFrame, trees: DataFrame, shortlist: DataFrame, relations: DataFrame) -> DataFrame:
@@ -150,9 +149,8 @@ def neighbours(sense_word: DataFrame, edge: DataFrame, kind: int = 1, words: Dat
 
 def edge_ranks(edge: DataFrame, bands: DataFrame) -> DataFrame:
     """(sid, type, word, nth): members of a sense by falling band, then by name, from 0."""
-    w = Window.partitionBy("sid", "type").orderBy(F.desc("band"), "word")
-    rows = edge.join(bands, "word", "left").withColumn("band", F.coalesce("band", F.lit(0)))
-    return rows.select("sid", "type", "word", (F.row_number().over(w) - 1).alias("nth"))
+    rows = edge.join(bands, "word", "left").select("sid", "type", "word", (-F.coalesce("band", F.lit(0))).alias("_b"))
+    return global_rank(rows, ["_b", "word"], "nth", ["sid", "type"]).select("sid", "type", "word", (F.col("nth") - 1).alias("nth"))
 
 
 def claim(near: DataFrame, bands: DataFrame) -> DataFrame:

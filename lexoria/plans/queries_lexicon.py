@@ -574,7 +574,7 @@ QUERIES["cls_13"], ORACLES["cls_13"] = cls_16, ORACLES["cls_16"]
 def cls_04(spark, sf_dir):
     """Thresholds scaled to the size of a corpus."""
     t = _counts(spark, sf_dir).groupBy("corpus_name").agg(F.sum("occurrences").alias("tokens"))
-    bar = lambda b: F.bround(F.lit(float(b)) * F.col("tokens") / F.lit(16_969_999_321)).cast("long")
+    bar = lambda b: F.bround(F.lit(float(b)) * F.col("tokens") / F.lit(C.CALIBRATED)).cast("long")
     return t.select("corpus_name", "tokens", bar(500).alias("rare_bar"), bar(2000).alias("alive_bar"))
 
 

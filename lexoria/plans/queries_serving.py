@@ -262,7 +262,7 @@ def srt_01(spark, sf_dir):
 
 
 VOTES = "(select word, cast(sum(case when bookmarked = 1 or coalesce(list_contains(tags, 'lol'), false) then 1 when coalesce(list_contains(tags, 'meh'), false) then -1 else 0 end) as bigint) as votes from annotations where deleted = 0 group by word)"
-_PTS = "(case when abs(v) = 0 then 0 when abs(v) = 1 then 3 when abs(v) = 2 then 4 when abs(v) <= 4 then 6 when abs(v) <= 8 then 8 when abs(v) <= 16 then 10 when abs(v) <= 32 then 12 when abs(v) <= 64 then 15 else 18 end * case when v < 0 then -1 else 1 end)"
+_PTS = "(case " + " ".join(f"when abs(v) <= {n} then {p}" for n, p in E.VOTE_STEPS) + f" else {E.MOST_POINTS} end * case when v < 0 then -1 else 1 end)"
 
 
 @query(f"{WORDS} select word, dict_count + {_PTS} as points from (select w.*, coalesce(v.votes, 0) as v from words w left join {VOTES} v using (word)) order by points desc, dict_count desc, word limit 250")
