@@ -234,9 +234,8 @@ def _word_order(first: DataFrame, listed: int) -> _Order:
             rest = most
             break
         low, left = s, left - k
-    if low is None:
-        return _Order(np.zeros(0, np.uint64), np.zeros(0, np.int64), rest)
-    got = counts.where(F.col("step") >= low).select("word", "n").toArrow()
+    got = counts.where(F.col("step") >= low if low is not None else F.lit(False)).select("word", "n").toArrow()
+    discard(counts)
     return _Order(got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy(), rest)
 
 
@@ -435,7 +434,9 @@ def _members(first: DataFrame) -> DataFrame:
     single = first.where("word is null").groupBy("space", "id").agg(F.max(F.struct("node", "copy")).alias("r")).select("space", "id", "r.node", "r.copy")
     single = publish(single, "single")
     classes = single.groupBy("node", "copy").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    return publish(single.join(classes, ["node", "copy"]), "members")
+    members = publish(single.join(classes, ["node", "copy"]), "members")
+    discard(single)
+    return members
 
 
 def _given(texts: DataFrame) -> DataFrame:
@@ -458,7 +459,9 @@ def _candidates(texts: DataFrame, first: DataFrame, threshold: float, least: int
         sizes = aside.groupBy("word").count().where(F.col("count") > part).select("word", F.ceil(F.col("count") / part).cast("int").alias("parts"))
         spread = aside.join(broadcast_within(publish(sizes, "sizes"), BROADCAST_BYTES), "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         pairs = pairs.unionByName(meet(spread.mapInArrow(_spread, BLOCK_ROWS)).select("a", "b"))
-    return publish(pairs.distinct(), "candidates")
+    candidates = publish(pairs.distinct(), "candidates")
+    discard(met)
+    return candidates
 
 
 def alike_sets(texts: DataFrame, threshold: float = 0.7, least: int = 12, part: int = PART) -> tuple[DataFrame, DataFrame]:
@@ -483,7 +486,10 @@ def alike_sets(texts: DataFrame, threshold: float = 0.7, least: int = 12, part:
         candidates.join(wa, "a").join(wb, "b").withColumn("n", F.size(F.array_intersect("wa", "wb")))
         .where(F.col("n") >= F.lit(threshold) * (F.size("wa") + F.size("wb") - F.col("n")) - 1e-9).select("a", "b")
     )
-    return members, publish(pairs, "pairs")
+    pairs = publish(pairs, "pairs")
+    discard(candidates)
+    discard(ids)
+    return members, pairs
 
 
 def _links(members: DataFrame, pairs: DataFrame, expand: int) -> tuple[DataFrame, DataFrame]:
