@@ -150,16 +150,18 @@ def _grow(data: dict[str, np.ndarray], y: np.ndarray) -> Rule:
     return rule if (_covers(rule, data, n) & y).any() else ()
 
 
-def _prune(rule: Rule, data: dict[str, np.ndarray], y: np.ndarray) -> Rule:
-    """The beginning of the rule with the best (p - n) / (p + n) on the pruning set; of equal ones the shortest."""
-    best, score = rule, -2.0
-    for k in range(1, len(rule) + 1):
-        c = _covers(rule[:k], data, len(y))
-        p, n = (c & y).sum(), (c & ~y).sum()
-        s = (p - n) / (p + n) if p + n else -1.0
-        if s > score + 1e-12:
-            best, score = rule[:k], s
-    return best
+def _score(rule: Rule, data: dict[str, np.ndarray], y: np.ndarray) -> float:
+    """(p - n) / (p + n) of what the rule takes."""
+    c = _covers(rule, data, len(y))
+    p, n = (c & y).sum(), (c & ~y).sum()
+    return (p - n) / (p + n) if p + n else -1.0
+
+
+def _prune(rule: Rule, data: dict[str, np.ndarray], y: np.ndarray, whole: dict[str, np.ndarray], y_whole: np.ndarray) -> Rule:
+    """The beginning of the rule with the best score on the pruning set; of equal ones, which a small set
+    can't tell apart, that with the best score on all documents that are left, then the shortest."""
+    scored = [((round(_score(rule[:k], data, y), 12), round(_score(rule[:k], whole, y_whole), 12)), -k) for k in range(1, len(rule) + 1)]
+    return rule[: -max(scored)[1]]
 
 
 def induce(data: dict[str, np.ndarray], y: np.ndarray, seed: int = 0, most_rules: int = 20) -> list[Rule]:
@@ -178,8 +180,7 @@ def induce(data: dict[str, np.ndarray], y: np.ndarray, seed: int = 0, most_rules
         if not rule:
             break
         if len(prune_on):
-            rule = _prune(rule, *part(prune_on))
-        # the final cuts by all that is left: the nearest negative beyond the last positive
+            rule = _prune(rule, *part(prune_on), *part(left))
         c = _covers(rule, *[part(left)[0]], len(left))
         p, n = (c & y[left]).sum(), (c & ~y[left]).sum()
         if p <= n:
@@ -241,7 +242,8 @@ def learn(stats: DataFrame, labelled: int = LABELLED, n_rows: int | None = None)
     out = {}
     for stat in LIMITS:
         y = label(data[stat], stat)
-        out[stat] = settle(induce(data, y), data, y) if y.any() else []
+        mine = {stat: data[stat], **data}  # of tests that tell as much the statistic's own comes first
+        out[stat] = settle(induce(mine, y), mine, y) if y.any() else []
     return out
 
 
