@@ -56,8 +56,8 @@ _NULLIF = r"nullif(trim(regexp_replace(regexp_replace(translate(regexp_replace({
 _both("scl_06", "definitions", "def_id", {"clean": (lambda: X.clean_markup(F.expr(RAW)), _NULLIF.format(RAW.replace("concat(", "(").replace(", ", " || ").replace("sursa: ' ||", "sursa: ' ||")))})
 _both("scl_07", "definitions", "def_id", {"clean": (lambda: X.clean_entry(F.expr(RAW)), _NULLIF.format(r"replace(regexp_replace(" + RAW.replace("concat(", "(").replace(", ", " || ") + r", '\[\d+\]', '', 'g'), '__', '')"))})
 _both("scl_08", "definitions", "def_id", {
-    "target": (lambda: X.pointer_target(F.expr("concat(' vezi ', word, '. ')")), f"nullif({NORM.format(r'''regexp_extract(' vezi ' || word || '. ', '(?i)^\s*vezi\s+([^\s,;.]+)\s*\.?\s*$', 1)''')}, '')"),
-    "none": (lambda: X.pointer_target("definition"), f"nullif({NORM.format(r'''regexp_extract(definition, '(?i)^\s*vezi\s+([^\s,;.]+)\s*\.?\s*$', 1)''')}, '')"),
+    "target": (lambda: X.pointer_target(F.expr("concat(' vezi ', word, '. ')")), f"nullif({NORM.format(r'''regexp_extract(' vezi ' || word || '. ', '(?i)^[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]*vezi[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+([^\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000},;.]+)[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]*\.?[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]*$', 1)''')}, '')"),
+    "none": (lambda: X.pointer_target("definition"), f"nullif({NORM.format(r'''regexp_extract(definition, '(?i)^[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]*vezi[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+([^\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000},;.]+)[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]*\.?[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]*$', 1)''')}, '')"),
 })
 # DuckDB measures bytes: the characters of a pair that take several are changed for single ones first
 _SINGLE = "translate({}, odd, array_to_string(list_transform(range(1, 32), lambda x: chr(cast(x as int))), ''))"
