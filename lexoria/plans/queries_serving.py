@@ -138,7 +138,7 @@ def flt_03(spark, sf_dir):
 # stand-ins for lexemes: an article is one, with a frequency, a type of inflection and a description of its own
 KINDS = ["F1", "M", "N", "A", "AF", "VT", "PT", "SP", "T", "I", "", "IL3"]
 _KIND = "list_value(" + ", ".join(f"'{k}'" for k in KINDS) + ")[1 + def_id % 12]"
-LEXEMES = f"(select distinct def_id, word as form, def_id % 102 / 100.0::double as frequency, {_KIND} as kind, replace(regexp_extract(definition, '^((?:s\. [fmn]|adv|adj|vb)\.)', 1), ' ', '') as description from definitions)"
+LEXEMES = f"(select distinct def_id, word as form, def_id % 102 / 100.0::double as frequency, {_KIND} as kind, replace(regexp_extract(definition, '^((?:s\\. [fmn]|adv|adj|vb)\\.)', 1), ' ', '') as description from definitions)"
 
 
 def _lexemes(spark, sf_dir):
